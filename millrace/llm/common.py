@@ -72,3 +72,21 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema
             yield pa.RecordBatch.from_pydict(function(part), schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+class Held:
+    """What each worker builds once from picklable parts and keeps for its later tasks; to be broadcast."""
+
+    def __init__(self, make: Callable, *parts: object):
+        self.make, self.parts, self.made = make, parts, None
+
+    def __getstate__(self) -> tuple:
+        return self.make, self.parts
+
+    def __setstate__(self, state: tuple) -> None:
+        (self.make, self.parts), self.made = state, None
+
+    def __call__(self):  # noqa: ANN204
+        if self.made is None:
+            self.made = self.make(*self.parts)
+        return self.made

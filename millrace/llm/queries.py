@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import decontam
 from millrace.llm.common import table
+from millrace.llm.decontam import contamination_digest
+from millrace.llm.langid import held_out_languages
 from millrace.llm.mixing import mix
+from millrace.llm.quality_bt import held_out_quality
+from millrace.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -25,3 +30,26 @@ def query(name: str) -> Callable:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op3_decontaminate"] = decontam.SQL
+
+
+@query("op4_quality_rank")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
