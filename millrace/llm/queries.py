@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam
+from millrace.llm import decontam, quality_rules, warc_zst
 from millrace.llm.common import table
 from millrace.llm.decontam import contamination_digest
 from millrace.llm.langid import held_out_languages
 from millrace.llm.mixing import mix
+from millrace.llm.ngram_join import link_groups
 from millrace.llm.quality_bt import held_out_quality
+from millrace.llm.quality_rules import rule_verdicts
 from millrace.llm.token_counts import count_tokens
+from millrace.llm.warc_zst import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -53,3 +56,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op5_ngram_join")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_verdicts(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_quality_rules"] = quality_rules.SQL
+
+
+@query("op10_warc_zst")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+SQL["op10_warc_zst"] = warc_zst.SQL
