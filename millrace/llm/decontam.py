@@ -15,7 +15,6 @@ item_id is named "null"; rows with the same item_id are one item; documents keep
 
 from __future__ import annotations
 
-import hashlib
 import re
 from array import array
 from collections.abc import Iterator

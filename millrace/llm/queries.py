@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, quality_rules, warc_zst
+from millrace.llm import chat_tree, decontam, quality_rules, warc_zst
 from millrace.llm.common import table
 from millrace.llm.decontam import contamination_digest
 from millrace.llm.langid import held_out_languages
 from millrace.llm.mixing import mix
 from millrace.llm.ngram_join import link_groups
+from millrace.llm.pii_crf import pii_digest
 from millrace.llm.quality_bt import held_out_quality
 from millrace.llm.quality_rules import rule_verdicts
 from millrace.llm.token_counts import count_tokens
@@ -77,3 +78,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_warc_zst"] = warc_zst.SQL
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op9_chat_tree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tree.read_back(chat_tree.packs(chat_tree.with_trap(spark, table(spark, sf_dir, "conversations"))))
+
+
+SQL["op9_chat_tree"] = chat_tree.SQL
