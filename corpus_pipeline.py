@@ -1,8 +1,72 @@
-"""The corpus pipeline (filled in stage by stage)."""
+"""A corpus pipeline of five stages: language, near copies, benchmark passages, personal data, mixture.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns documents with the
+columns of the table; the last returns the mixture, a row for each copy that it takes. doc_id is the key of documents:
+of rows that repeat one, the stage for near copies keeps one; rows without one pass every stage on their text and are drawn
+in the last. SQL can't express the learned and drawn stages, so there is no oracle; tests compare with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm.common import stage_table, table
+from millrace.llm.decontam import remove_contamination
+from millrace.llm.langid import identify, learn
+from millrace.llm.mixing import mix
+from millrace.llm.ngram_join import link_groups
+from millrace.llm.pii_crf import redacted
+
+#: A language is recognised when its posterior probability is at least this.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose language isn't recognised, go; a missing lang is filled in."""
+    named = identify(docs, learn(docs))
+    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    gone = link_groups(docs).where("doc_id <> group_id").select("doc_id").distinct()
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if not repeated.isEmpty():
+        again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+        docs = docs.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages of eight words or more are cut; documents that are mostly such passages go."""
+    return remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return redacted(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy of a document that the mixture takes, with the copy's number."""
+    taken = mix(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
+    return taken.select("doc_id", "text", "lang", "source", "n_chars", "size", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+
+
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return docs

@@ -230,12 +230,11 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = 2 * WINDOW, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """`docs` without contaminated passages: same columns, n_chars brought up to date.
 
-    A hit run of at least `max_run` words, or any hit in a document of which hits cover more than a tenth of
-    `max_coverage`, is cut out of the text; a document of which hits cover more than `max_coverage` goes.
-    Other short hits (shared phrases) stay, and so does every document without hits, unchanged.
+    A hit run of at least `max_run` words is cut out of the text; a document of which such runs cover more than
+    `max_coverage` goes. Shorter hits (items of a few words) stay, and so does every document without hits, unchanged.
     """
     blocks = automata(benchmark, window)
     place = docs.columns.index("text")
@@ -249,14 +248,14 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = 2
                 keep = []
                 for k, (spans, _) in enumerate(found):
                     keep.append(True)
+                    spans = [(a, b) for a, b in spans if b - a >= max_run]
                     if not spans:
                         continue
                     places = [m.span() for m in WORDS.finditer(texts[k].translate(_LOWER))]
                     covered = sum(b - a for a, b in spans) / len(places)
                     keep[-1] = covered <= max_coverage
                     for a, b in reversed(spans):
-                        if b - a >= max_run or covered > max_coverage / 10:
-                            texts[k] = texts[k][: places[a][0]] + texts[k][places[b - 1][1] :]
+                        texts[k] = texts[k][: places[a][0]] + texts[k][places[b - 1][1] :]
                 columns = list(part.columns)
                 columns[place] = pa.array(texts, part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))

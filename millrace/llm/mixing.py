@@ -82,33 +82,31 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, fan: int = FAN, seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the columns of `carry` for each row of `docs`."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    if carry:
-        rows = docs.select("doc_id", "source", size.alias("size"), F.struct(*carry).alias("carried"))
-        measured = cut(rows.select("source", "size"))
-    else:
-        rows = measured = cut(docs.select("doc_id", "source", size.alias("size"), F.lit(None).cast("int").alias("carried")))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+    measured = cut(docs.select("doc_id", "source", size))
     targets = cut(source_targets(measured, weights, cap))
     n_sources, most_docs = targets.agg(F.count("*"), F.max("docs")).first()
     side = targets.withColumnRenamed("source", "its")
     side = F.broadcast(side) if n_sources <= BROADCAST_SOURCES else side
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("its"))).drop("its")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumn("whole", F.floor(rate).cast("int")).withColumn("open", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)))
-    leaf = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("docs") / F.lit(fan)))
-    item = F.struct(
-        (-F.col("size")).alias("order"), F.xxhash64("doc_id", "size", F.lit(seed + 1)).alias("then"), "doc_id", "size", "source", "carried",
-        (F.col("open") * F.col("size")).alias("m"), F.col("size").cast("double").alias("c"), _uniform(F.col("doc_id"), F.col("size"), F.lit(seed + 2)).alias("u"),
-    )
-    leaves = rows.withColumn("node", leaf).groupBy("rank", "node").agg(
-        F.sort_array(F.collect_list(F.when(F.col("open") > 0, item))).alias("items"), F.collect_list(F.when(F.col("open") <= 0, item)).alias("still"), *(F.first(c).alias(c) for c in ("source_size", "target", "whole"))
-    )
-    leaves = _folded(leaves)
-    if not carry:
-        leaves = cut(leaves)
-        units = leaves
-    else:  # the texts are not written: the tree needs the masses alone
-        units = cut(leaves.select("rank", "node", "end"))
+
+    def leaves_of(rows: DataFrame) -> DataFrame:
+        rows = rows.join(side, F.col("source").eqNullSafe(F.col("its"))).drop("its")
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+        rows = rows.withColumn("whole", F.floor(rate).cast("int")).withColumn("open", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)))
+        leaf = F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("docs") / F.lit(fan)))
+        item = F.struct(
+            (-F.col("size")).alias("order"), F.xxhash64("doc_id", "size", F.lit(seed + 1)).alias("then"), "doc_id", "size", "source", "carried",
+            (F.col("open") * F.col("size")).alias("m"), F.col("size").cast("double").alias("c"), _uniform(F.col("doc_id"), F.col("size"), F.lit(seed + 2)).alias("u"),
+        )
+        return rows.withColumn("node", leaf).groupBy("rank", "node").agg(
+            F.sort_array(F.collect_list(F.when(F.col("open") > 0, item))).alias("items"), F.collect_list(F.when(F.col("open") <= 0, item)).alias("still"), *(F.first(c).alias(c) for c in ("source_size", "target", "whole"))
+        )
+
+    # the tree needs the masses alone; texts to carry are shuffled once, into the leaves, when all is settled
+    leaves = cut(_folded(leaves_of(measured.withColumn("carried", F.lit(None).cast("int")))))
+    units = leaves.select("rank", "node", "end")
+    if carry:
+        leaves = leaves_of(docs.select("doc_id", "source", size, F.struct(*carry).alias("carried"))).join(units, ["rank", "node"])
     nodes, levels = -(-(most_docs or 0) // fan), []
     units = units.select("rank", "node", "end")
     while nodes > 1:
