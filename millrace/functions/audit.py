@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TypeVar
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,3 +35,22 @@ def no_corrections() -> Column:
 
 def no_errors() -> Column:
     return F.expr(f"cast(array() as array<{ERROR}>)")
+
+
+def computed_once(value: Column) -> Column:
+    """`value`, which the optimizer will not push filters through: it would repeat the whole classification in the filter,
+    once for each place that a stage's column is used."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
+_T = TypeVar("_T")
+_HELD: dict[tuple, object] = {}
+
+
+def held(make: Callable[..., _T], *arguments: object) -> _T:
+    """What `make` returns, made once for each Spark context: expressions that name columns only can be used again, and
+    making some thousands of them takes seconds."""
+    key = (make, arguments, id(SparkContext._active_spark_context))
+    if key not in _HELD:
+        _HELD[key] = make(*arguments)
+    return _HELD[key]

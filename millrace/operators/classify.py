@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.audit import correction, entries, error
-from millrace.functions.text import is_blank, number_text, parse_number, strip
+from millrace.functions.audit import computed_once, correction, entries, error, held
+from millrace.functions.text import number_text, parse_number, strip
 from millrace.operators import rules
 from millrace.operators.items import SUM, item_states
 from millrace.schema import CORRECTED, QUARANTINED, RAW_COLUMNS, VALID
@@ -23,48 +23,71 @@ def classify(df: DataFrame, duplicate: str | None = None) -> DataFrame:
     """
     keep = [c for c in df.columns if c not in OUTPUT and c != duplicate]
     flag = F.coalesce(F.col(duplicate), F.lit(False)) if duplicate else F.lit(False)
+    df = df.select(F.struct(*keep).alias("_row"), flag.alias("_duplicate"), "raw_record").select("_row", "_duplicate", *held(_trimmed))
+    df = item_states(df.withColumns(held(_numbers)).withColumns(held(_fields)))
+    for stage in held(_record):
+        df = df.withColumns(stage)
+    return df.select(*(F.col(f"_row.`{c}`").alias(c) for c in keep), *held(_outputs))
+
+
+NUMERIC = {"delivery": "delivery_cost", "payment": "payment_amount", "order_total": "total_amount"}
+_COLUMNS = {"date": "order_date", "email": "customer_email", "phone": "customer_phone", "currency": "currency", "status": "status", "payment_status": "payment_status", **NUMERIC}
+
+
+def _trimmed() -> list[F.Column]:
     raw = {c: F.col(f"raw_record.{c}") for c in RAW_COLUMNS}
-    df = df.select(F.struct(*keep).alias("_row"), flag.alias("_duplicate"), *(raw[c].alias(f"_raw_{c}") for c in RAW_COLUMNS), *(strip(raw[c]).alias(c) for c in RAW_COLUMNS))
-    numbers = {"delivery": "delivery_cost", "payment": "payment_amount", "order_total": "total_amount"}
-    df = df.select("*", *(parse_number(F.col(c)).alias(n) for n, c in numbers.items()))
+    return [*(raw[c].alias(f"_raw_{c}") for c in RAW_COLUMNS), *(strip(raw[c]).alias(c) for c in RAW_COLUMNS)]
+
+
+def _numbers() -> dict[str, F.Column]:
+    return {n: parse_number(F.col(c)) for n, c in NUMERIC.items()}
+
+
+def _fields() -> dict[str, F.Column]:
+    """The cleaned fields, and the corrections and errors so far."""
     col = F.col
     steps = {
         "date": rules.order_date(col("order_date")), "email": rules.email(col("customer_email")), "phone": rules.phone(col("customer_phone")),
         "currency": rules.currency(col("currency")), "status": rules.order_status(col("status")), "payment_status": rules.payment_status(col("payment_status")),
-        **{n: rules.number(c, col(c), col(n)) for n, c in numbers.items()},
+        **{n: rules.number(c, col(c), col(n)) for n, c in NUMERIC.items()},
     }
-    columns = {"date": "order_date", "email": "customer_email", "phone": "customer_phone", "currency": "currency", "status": "status", "payment_status": "payment_status", **numbers}
     trims = rules.trim_corrections({c: (col(f"_raw_{c}"), col(c)) for c in RAW_COLUMNS})
     ids = F.concat(
         rules.required("order_id", col("order_id"), "MISSING_ORDER_ID", "Order ID"),
         rules.required("customer_id", col("customer_id"), "MISSING_CUSTOMER_ID", "Customer ID"),
         entries((col("_duplicate"), error("DUPLICATE_ORDER_ID", "order_id", col("order_id"), "order_id belongs to a genuinely conflicting duplicate group."))),
     )
-    fields = ("date", "email", "phone", "currency", "status")
-    df = df.select(
-        "*", F.concat(trims, *(s.corrections for s in steps.values())).alias("_made"), F.concat(ids, *(steps[f].errors for f in fields)).alias("_found"),
-        *(s.value.alias(f"_clean_{columns[f]}") for f, s in steps.items()),
-    )
-    df = item_states(df)
-    df = _order_total(df)
-    codes = F.array_distinct(F.transform("_found", lambda e: e["code"]))
-    df = df.withColumn("_codes", codes)
+    judged = ("date", "email", "phone", "currency", "status")
+    return {"_made": F.concat(trims, *(s.corrections for s in steps.values())), "_found": F.concat(ids, *(steps[f].errors for f in judged)), **{f"_clean_{_COLUMNS[f]}": s.value for f, s in steps.items()}}
+
+
+def _record() -> list[dict[str, F.Column]]:
+    """Stages after the items: the order's total, codes, several errors at once."""
+    col = F.col
     several = F.size("_codes") > 1
-    df = df.withColumn("codes_error", F.when(several, F.array_append("_codes", "MULTIPLE_CONFLICTING_ERRORS")).otherwise(col("_codes")))
-    df = df.withColumn("details_error", F.when(several, F.array_append("_found", error("MULTIPLE_CONFLICTING_ERRORS", "_record", None, "Multiple substantial errors prevent a single safe correction path."))).otherwise(col("_found")))
+    message = error("MULTIPLE_CONFLICTING_ERRORS", "_record", None, "Multiple substantial errors prevent a single safe correction path.")
+    return [
+        *_order_total(),
+        {"_codes": F.array_distinct(F.transform("_found", lambda e: e["code"]))},
+        {"codes_error": F.when(several, F.array_append("_codes", "MULTIPLE_CONFLICTING_ERRORS")).otherwise(col("_codes")), "details_error": F.when(several, F.array_append("_found", message)).otherwise(col("_found"))},
+    ]
+
+
+def _outputs() -> list[F.Column]:
+    col = F.col
     status = F.when(F.size("codes_error") > 0, QUARANTINED).when(F.size("_made") > 0, CORRECTED).otherwise(VALID)
-    clean = {c: col(f"_clean_{c}") for c in columns.values()} | {"items_json": col("items_text"), "total_amount": col("_final_total")}
+    clean = {c: col(f"_clean_{c}") for c in _COLUMNS.values()} | {"items_json": col("items_text"), "total_amount": col("_final_total")}
     cleaned = F.struct(*(clean.get(c, col(c)).alias(c) for c in RAW_COLUMNS))
-    return df.select(*(col(f"_row.`{c}`").alias(c) for c in keep), status.alias("quality_status"), cleaned.alias("cleaned_record"), col("_made").alias("corrections"), "codes_error", "details_error")
+    outputs = {"quality_status": status, "cleaned_record": cleaned, "corrections": col("_made"), "codes_error": col("codes_error"), "details_error": col("details_error")}
+    return [computed_once(e).alias(c) for c, e in outputs.items()]
 
 
-def _order_total(df: DataFrame) -> DataFrame:
+def _order_total() -> list[dict[str, F.Column]]:
     """Derives or recalculates the order's total from its items and delivery, or reports it unknown."""
     col = F.col
     usable = col("items").isNotNull() & (col("delivery") >= 0)
     known = F.forall("items", lambda s: s["total"].isNotNull() & (s["total"] >= 0))
     expected = F.when(usable & known, (F.aggregate("items", F.lit(0).cast(SUM), lambda a, s: (a + s["total"]).cast(SUM)) + col("delivery")).cast(SUM))
-    df = df.withColumn("_expected", expected)
     derived = col("_expected").isNotNull() & col("order_total").isNull()
     changed = F.coalesce(col("_expected") != col("order_total"), F.lit(False))
     made = entries(
@@ -74,8 +97,8 @@ def _order_total(df: DataFrame) -> DataFrame:
     unknown = col("order_total").isNull() & col("_expected").isNull()
     message = F.when(F.coalesce(usable, F.lit(False)), "Order total is unknown and cannot be safely recomputed.").otherwise("Order total is unknown and required components are unusable.")
     found = entries((unknown, error("TOTAL_UNKNOWN_UNRECOVERABLE", "total_amount", col("_raw_total_amount"), message)))
-    df = df.withColumn("_final_total", F.when(derived | changed, number_text(col("_expected"))).otherwise(col("_clean_total_amount")))
-    return df.withColumn("_made", F.concat("_made", "items_made", made)).withColumn("_found", F.concat("_found", "items_found", found))
+    final = F.when(derived | changed, number_text(col("_expected"))).otherwise(col("_clean_total_amount"))
+    return [{"_expected": expected}, {"_final_total": final, "_made": F.concat("_made", "items_made", made), "_found": F.concat("_found", "items_found", found)}]
 
 
-__all__ = ["OUTPUT", "classify", "is_blank"]
+__all__ = ["OUTPUT", "classify"]
