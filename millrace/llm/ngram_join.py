@@ -2,10 +2,10 @@
 
 Two documents are linked when the Jaccard similarity of their sets of word n-grams (five words) is at least 0.8.
 
-1. Sketch. Each document's n-gram hashes give HASHES MinHash values of 16 bits, in BANDS bands of ROWS, and a
-   fingerprint of the n-gram set. One pass over the texts, no shuffle.
-2. Classes. Documents with the same fingerprint are copies; the smallest doc_id stands for them from here on.
-3. Candidates. Representatives that share a band's values meet. A band of r values of similarity s is shared with
+1. Sketch. Each document's n-gram hashes give HASHES MinHash values of 16 bits, in BANDS bands of ROWS, and 64 bits
+   that name the n-gram set. One pass over the texts, no shuffle.
+2. Classes. Documents with the same set are copies; one row of each class goes on.
+3. Candidates. Classes that share a band's values meet. A band of r values of similarity s is shared with
    probability s^r, so a pair at 0.8 escapes all 24 bands of 4 with probability 3e-6, and fewer above.
 4. Pruning. A pair's MinHash values are compared a few at a time. After m matches of n the posterior probability that
    the similarity reaches the threshold follows from a uniform prior (regularised incomplete beta function); a pair
@@ -20,8 +20,8 @@ Buckets and clusters above BLOCK members are cut into blocks, and each two block
 task holds more than two blocks, whatever a group's size. Nothing is capped: every pair of blocks is compared.
 
 Defined results: a text without words (null, empty) has no links and is its own class and group; a text of fewer words
-than n is one n-gram; repeated rows are copies; a null doc_id is a document whose id is null (it is counted, but
-represents nothing unless its copies are all null). Words are those of the lower-cased text, letters and digits.
+than n is one n-gram; repeated rows are copies; a row with a null doc_id counts as a document, but an id stands for its
+class wherever there is one. Words are those of the lower-cased text, letters and digits.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ HASHES = BANDS * ROWS
 #: Probability with which pruning may drop a pair that reaches the threshold, at each look at its values.
 TOLERANCE, LOOK = 1e-6, 16
 BLOCK = 512
+#: Class rows (about 60 bytes each) up to which those in clusters are broadcast to their texts; beyond, both are shuffled.
+BROADCAST_ROWS = 500_000
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _U = np.uint64
@@ -122,38 +124,61 @@ def least_matches(threshold: float, tolerance: float, look: int = LOOK, hashes:
     return tuple(out)
 
 
+def class_key(grams: np.ndarray) -> int:
+    """64 bits that name a set of n-grams: documents with the same set are copies."""
+    with np.errstate(over="ignore"):
+        two = np.array([np.bitwise_xor.reduce(_mixed(grams ^ _BASE)), grams.sum(dtype=np.uint64) + _U(len(grams))])
+        return int(_mixed(two[:1] * _BASE + _mixed(two[1:])).view(np.int64)[0])
+
+
 def sketches(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """doc_id, print (fingerprint of the n-gram set, null without words), sig, keys (band keys), grams (the set, 8 bytes each)."""
-    names = ["doc_id", "print", "sig", "keys", "grams"]
+    """doc_id, v (the class key, null without words), sig (MinHash values), keys (band keys)."""
+    names = ["doc_id", "v", "sig", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         bands = np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)
         for part in slices(batches, 256):
-            prints, sigs, keys, sets = [], [], [], []
+            found: list[tuple] = []
             for text in part.column(1).to_pylist():
                 grams = shingles(text, hashes, n)
                 if not len(grams):
-                    prints.append(None), sigs.append(None), keys.append(None), sets.append(None)
+                    found.append((None, None, None))
                     continue
                 sig = signature(grams)
                 with np.errstate(over="ignore"):
-                    two = np.bitwise_xor.reduce(_mixed(grams ^ _BASE)), grams.sum(dtype=np.uint64)
-                    band = _mixed(sig.view(np.uint64) + bands).view(np.int64)
-                prints.append(b"%016x%016x%x" % (int(two[0]), int(two[1]), len(grams)))
-                sigs.append(sig.tobytes())
-                keys.append(band.tolist())
-                sets.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(prints, pa.binary()).cast(pa.string()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=names)
+                    found.append((class_key(grams), sig.tobytes(), _mixed(sig.view(np.uint64) + bands).view(np.int64).tolist()))
+            columns = [list(x) for x in zip(*found, strict=True)] if found else [[], [], []]
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, v long, sig binary, keys array<long>")
+
+
+def _with_grams(n: int):
+    """Rows (text, v, ...) -> (..., v, copies, sig, grams); a text of another class, under a doc_id that repeats, is left out."""
+    names = ["cluster", "low", "high", "side", "v", "copies", "sig", "grams"]
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, print string, sig binary, keys array<long>, grams binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for part in slices(batches, 256):
+            keep, sigs, sets = [], [], []
+            for text, v in zip(part.column(0).to_pylist(), part.column(5).to_pylist(), strict=True):
+                grams = shingles(text, hashes, n)
+                keep.append(len(grams) > 0 and class_key(grams) == v)
+                if keep[-1]:
+                    sigs.append(signature(grams).tobytes())
+                    sets.append(grams.tobytes())
+            rest = part.select(range(1, 7)).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=names)
+
+    return run
 
 
 def _blocks(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
     """The members with `task` and `side`: those of a key with up to `block` members meet in one task; a larger key's are
     dealt into blocks by hash, and each pair of blocks (a block with itself included) is a task; side tells which block."""
     n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(3)), n).cast("int")
+    mine = F.pmod(F.xxhash64("v", F.lit(3)), n).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda other: F.struct(F.least(mine, other).alias("low"), F.greatest(mine, other).alias("high"), F.when(mine <= other, 0).otherwise(1).alias("side")))
     return members.withColumn("n_blocks", n).withColumn("meet", F.explode(pairs)).select("*", "meet.low", "meet.high", "meet.side").drop("meet", "n_blocks")
 
@@ -261,9 +286,11 @@ def _verify(threshold: float, looks: tuple[tuple[int, int], ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _groups(batches, 3):
-            side, ids, copies = np.array(_column(parts, 3)), _column(parts, 4), np.array(_column(parts, 5), np.int64)
-            sig = np.frombuffer(b"".join(_column(parts, 6)), np.uint16).reshape(len(ids), HASHES)
-            sets = [np.frombuffer(x, np.uint64) for x in _column(parts, 7)]
+            rows = dict(zip(zip(_column(parts, 3), _column(parts, 4), strict=True), zip(_column(parts, 5), _column(parts, 6), _column(parts, 7), strict=True), strict=True))
+            side, ids = np.array([k for k, _ in rows]), [v for _, v in rows]  # a class once, though its row may repeat
+            copies = np.array([x[0] for x in rows.values()], np.int64)
+            sig = np.frombuffer(b"".join([x[1] for x in rows.values()]), np.uint16).reshape(len(ids), HASHES)
+            sets = [np.frombuffer(x[2], np.uint64) for x in rows.values()]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             same = not len(right)
             other = left if same else right
@@ -322,32 +349,30 @@ def link_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, t
     """
     looks = least_matches(threshold, tolerance)
     made = stage_table(sketches(docs, n), "sketches")
-    classes = made.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = cut(classes)
-    # one row of each class carries its sketch on; among repeated rows any does, as all are equal
-    first = made.where("print is not null and doc_id is not null")
-    bands = first.join(classes.select("print", F.col("id").alias("doc_id")), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("id"), "keys")
-    bands = cut(bands.select("id", F.explode(F.arrays_zip(F.sequence(F.lit(1), F.lit(BANDS)).alias("band"), "keys")).alias("z")).select("id", F.col("z.keys").alias("key")).distinct())
-    shared = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = bands.join(shared, "key")
-    sigs = first.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id"])
-    met = _blocks(members, "key", "members", block).join(sigs, "id")
-    met = met.select("key", "low", "high", "side", "id", "sig").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "id")
-    forest = met.mapInArrow(_candidate_forest(looks), "a long, b long")
-    clusters = components(forest)
-    roots = clusters.select(F.col("group").alias("id"), "group").distinct()
-    clusters = clusters.union(roots).withColumnRenamed("group", "cluster")
+    # copies collapse before the shuffle, so the largest class costs a row for each task
+    classes = made.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = stage_table(classes, "classes")
+    bands = classes.select("v", F.explode("keys").alias("key"))
+    # many bands are shared by the very same classes; one band of each such set is enough
+    shared = bands.groupBy("key").agg(F.count("*").alias("members"), F.min("v").alias("least"), F.sum(F.xxhash64("v").cast("decimal(20,0)")).alias("sum")).where("members > 1")
+    shared = shared.groupBy("members", "least", "sum").agg(F.min("key").alias("key")).select("key", "members")
+    met = _blocks(bands.join(shared, "key"), "key", "members", block).join(classes.select("v", "sig"), "v")
+    met = met.select("key", "low", "high", "side", "v", "sig").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "side", "v")
+    clusters = components(met.mapInArrow(_candidate_forest(looks), "a long, b long"))
+    clusters = clusters.union(clusters.select(F.col("group").alias("id"), "group").distinct()).select(F.col("id").alias("v"), F.col("group").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    inside = _blocks(clusters.join(sizes, "cluster"), "cluster", "members", block)
-    sets = first.select(F.col("doc_id").alias("id"), "sig", "grams").dropDuplicates(["id"])
-    inside = inside.join(classes.select("id", "copies"), "id").join(sets, "id")
-    inside = inside.select("cluster", "low", "high", "side", "id", "copies", "sig", "grams").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "side", "id")
-    found = cut(inside.mapInArrow(_verify(threshold, looks), "id long, other long, links long"))
-    links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
-    groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    ruled = classes.join(links, "id", "left").join(groups, "id", "left").select("print", F.col("id").alias("class_id"), "copies", "links", F.coalesce("group", "id").alias("group_id"))
-    out = made.select("doc_id", "print").join(ruled, "print", "left")
-    return out.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"),
-        (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id"),
-    )
+    inside = _blocks(clusters.join(sizes, "cluster"), "cluster", "members", block).join(classes.select("v", "class_id", "copies"), "v")
+    inside = cut(inside.select("class_id", "cluster", "low", "high", "side", "v", "copies"))
+    wanted = F.broadcast(inside) if inside.count() <= BROADCAST_ROWS else inside
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("class_id"))).select("text", "cluster", "low", "high", "side", "v", "copies")
+    sets = texts.mapInArrow(_with_grams(n), "cluster long, low int, high int, side int, v long, copies long, sig binary, grams binary")
+    sets = sets.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "side", "v")
+    found = cut(sets.mapInArrow(_verify(threshold, looks), "id long, other long, links long"))
+    links = found.where("other is null").groupBy(F.col("id").alias("v")).agg(F.sum("links").alias("links"))
+    groups = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "v")
+    named = classes.select("v", "class_id", "copies").join(links, "v", "left").join(groups, "v", "left").withColumn("group", F.coalesce("group", "v"))
+    least = named.where((F.col("group") != F.col("v")) | F.col("links").isNotNull()).groupBy("group").agg(F.min("class_id").alias("least"))
+    named = cut(named.join(least, "group", "left").select("v", "class_id", "copies", "links", F.coalesce("least", "class_id").alias("group_id")))
+    copies = F.coalesce("copies", F.lit(1))
+    out = made.select("doc_id", "v").join(named, "v", "left")
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), copies.alias("copies"), (copies - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("group_id", "doc_id").alias("group_id"))
