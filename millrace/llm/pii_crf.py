@@ -95,6 +95,7 @@ _NATIONAL = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _TRUNK = re.compile(r"(?:00[1-9][0-9]{0,2}|0[1-9][0-9]{0,4})(?:[ /.-][0-9]{2,9}){1,5}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) )[A-Za-z0-9-]+(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]+)+")
 _SPACED = re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+")
+_TOP = re.compile(r"[A-Za-z]{2,}\Z")
 _GROUPS = re.compile(r"[0-9]{4}(?:[ ./-][0-9]{4}){2,3}|[0-9]{4}[ ./-][0-9]{6}[ ./-][0-9]{4,5}")
 _CUES = {"email": {"email", "mail", "contact", "write", "reach"}, "ip": {"ip", "host", "server", "node", "from"}, "card": {"card", "visa", "credit", "paid", "charge"}, "phone": {"phone", "tel", "call", "fax", "mobile", "ring"}}
 
@@ -108,9 +109,9 @@ def _span_features(text: str, start: int, end: int, cue: str) -> list[str]:
     out = ["bias", f"digits{min(n, 7) if n < 7 else 8 if n < 10 else n if n < 12 else 12 if n < 14 else 14 if n < 17 else 17 if n < 20 else 20}"]
     if _EMAIL_FULL.fullmatch(span):
         out.append("plain email")
-    elif "@" in span and _SPACED.fullmatch(span):
+    elif "@" in span and _SPACED.fullmatch(span) and _TOP.search(span):
         out.append("spaced email")
-    elif _SPELLED.fullmatch(span):
+    elif _SPELLED.fullmatch(span) and _TOP.search(span):
         out.append("spelled email")
     elif any(c.isalpha() for c in span):
         out.append("letters")
@@ -261,7 +262,7 @@ def generated(n: int = 320, seed: int = 5) -> list[tuple[str, list[Span]]]:
     none = [
         lambda: f"20{number(2)}-{draw.randint(10, 12)}-{draw.randint(10, 28)} {draw.randint(10, 23)}.{number(2)}.{number(2)}", lambda: f"{draw.randint(10, 28)}.{draw.randint(10, 12)}.20{number(2)}", lambda: f"{number(1)}.{number(2)}.{number(2)}", lambda: f"{number(7)}", lambda: f"{number(9)}", lambda: f"#{number(8)}",
         lambda: long_number(16), lambda: long_number(14), lambda: long_number(18), lambda: "".join(draw.choices("0123456789abcdef", k=40)), lambda: f"${number(3)},{number(3)}.{number(2)}", lambda: f"{number(4)} {number(4)} {number(4)}", lambda: f"{word()} at {word()}", lambda: f"@{word()}", lambda: f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}",
-        lambda: f"{number(3)} {number(3)} {number(3)}", lambda: f"{number(4)}-{number(4)}", lambda: f"20{number(2)}{number(4)}{number(6)}", lambda: f"met at {word()} near the {word()} dot", lambda: f"{number(5)}-{number(5)}", lambda: f"30{number(1)}.{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(10)}", lambda: f"{number(12)}",
+        lambda: f"{number(3)} {number(3)} {number(3)}", lambda: f"{number(4)}-{number(4)}", lambda: f"20{number(2)}{number(4)}{number(6)}", lambda: f"met at {word()} near the {word()} dot", lambda: f"{number(5)}-{number(5)}", lambda: f"20{number(2)}-0{number(1)}-{draw.randint(10, 28)} at {draw.randint(10, 23)}.{number(2)}.{number(2)}", lambda: f"30{number(1)}.{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(10)}", lambda: f"{number(12)}",
     ]
     out = []
     for k in range(n):

@@ -58,7 +58,7 @@ def measured(docs: DataFrame) -> DataFrame:
     failing lines), base_failed and kept; input columns of those names are replaced."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "cleaned", "base_failed", "kept")
     keep = [c for c in docs.columns if c not in made]
-    rows = docs.select(F.struct(*keep).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
     rows = rows.withColumn("_lines", F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)))
     rows = rows.withColumn("_hashes", F.transform(F.array_remove(F.split("_text", SPACE), ""), lambda w: F.xxhash64(w)))
     # one hash for each window of eight words, and the windows by hash only where two are equal

@@ -78,7 +78,7 @@ class Counter:
         self.counts = Counts(self.library.model, self.letters, whole if whole is not None else [])
 
     def prove_whole(self) -> list[str]:
-        """The texts of the vocabulary strings that are one pre-token and come out of the merges as that one token."""
+        """The texts of the vocabulary strings that the normaliser keeps, that are one pre-token, and that the merges make that one token."""
         bytes_of = {letter: b for b, letter in self.letters.items()}
         out = []
         for piece, number in self.library.get_vocab(with_added_tokens=False).items():
@@ -89,7 +89,8 @@ class Counter:
                 text = bytes(bytes_of[c] for c in body).decode()
             except (KeyError, UnicodeDecodeError):
                 continue
-            if self.words.fullmatch(text) and self.words.findall(text) == [text] and [t.id for t in self.library.model.tokenize(body)] == [number]:
+            stays = self.library.normalizer.normalize_str(text) == text and self.words.findall(text) == [text]
+            if stays and [t.id for t in self.library.model.tokenize(body)] == [number]:
                 out.append(text)
         return sorted(out)
 

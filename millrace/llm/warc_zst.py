@@ -89,7 +89,7 @@ class Writer:
     def _open(self) -> None:
         dictionary = make_dictionary([x[:8192] for x in self.held])
         self.name = f"{self.folder}/{uuid.uuid4().hex}.warc.zst"
-        self.out = self.fs.open_output_stream(self.name)
+        self.out = self.fs.open_output_stream(self.name, compression=None)  # else the name's ending would have it compressed again
         packed = zstandard.ZstdCompressor(level=LEVEL).compress(dictionary)
         self.out.write(SKIPPABLE.to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed)
         self.size, self.records = 8 + len(packed), 0
@@ -99,8 +99,9 @@ class Writer:
             self._write(data)
 
     def _write(self, data: bytes) -> None:
-        if self.size >= self.archive_bytes:
+        if self.out is not None and self.records and self.size >= self.archive_bytes:
             self._close()
+        if self.out is None:
             self.held.append(data)
             return
         frame = self.pack.compress(data)
@@ -228,7 +229,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, read = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for data in read_frames(stream):
                         rows.append(page_row(data)[: len(names)])
                         read += 1

@@ -49,7 +49,7 @@ def test_digest(spark, docs, benchmark):
     rows = docs((1, text), (2, None), (3, ""), (4, "one two three four five six seven"), (5, "red green blue " * 5000), (1, text))
     got = contamination_digest(rows, benchmark).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 6 and (by[1]["n_words"], by[1]["n_hit"], by[1]["n_items"], by[1]["contaminated"]) == (13, 11, 2, True)
+    assert len(got) == 6 and (by[1]["n_words"], by[1]["n_hit"], by[1]["n_items"], by[1]["contaminated"]) == (14, 11, 2, True)
     assert by[1]["items_sha256"] == hashlib.sha256(b"1,2").hexdigest() and by[2]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     assert by[4]["n_hit"] == 0 and by[5]["n_hit"] == 15000 and not by[5]["contaminated"]
 
