@@ -23,7 +23,7 @@ def classify(df: DataFrame, duplicate: str | None = None) -> DataFrame:
     """
     keep = [c for c in df.columns if c not in OUTPUT and c != duplicate]
     flag = F.coalesce(F.col(duplicate), F.lit(False)) if duplicate else F.lit(False)
-    df = df.select(F.struct(*keep).alias("_row"), flag.alias("_duplicate"), "raw_record").select("_row", "_duplicate", *held(_trimmed))
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row"), flag.alias("_duplicate"), "raw_record").select("_row", "_duplicate", *held(_trimmed))
     df = item_states(df.withColumns(held(_numbers)).withColumns(held(_fields)))
     for stage in held(_record):
         df = df.withColumns(stage)
