@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from millrace.config import LARGE, RAW, SMALL
 from millrace.schema import CORRUPT, RAW_COLUMNS
-from millrace.sources.csv import check_schema, numbered, read_large, read_small
+from millrace.sources.csv import check_schema, count_rows, numbered, read_large, read_small
 from millrace.sources.storage import Storage
 
 
@@ -63,7 +63,7 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
     if not df.columns:
         raise ValueError(f"{path} is empty")
     check_schema(df)
-    read, corrupt = df.agg(F.count("*"), F.count_if(F.length(F.trim(CORRUPT)) > 0)).first()
+    read, corrupt = count_rows(df)
     if corrupt and on_malformed == "fail":
         raise GateError(f"{corrupt} corrupt CSV rows")
     if expected_rows is not None and read != expected_rows:

@@ -57,7 +57,12 @@ class Storage:
     def _pointer(self, name: str) -> str | None:
         if not self._exists(f"{self.path(name)}/_CURRENT"):
             return None
-        return self.spark.read.text(f"{self.path(name)}/_CURRENT").first()[0]
+        fs, at = self._fs(f"{self.path(name)}/_CURRENT")
+        stream = fs.open(at)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
 
     def snapshot(self, name: str) -> DataFrame:
         """The table as it stands, empty if never written."""
