@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a Python step holds as Python objects at a time.
@@ -56,6 +56,18 @@ def bucket_of(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def drawn(rows: DataFrame, group: str, k: int, salts: int = 64) -> DataFrame:
+    """The `k` rows of each group with the smallest hashes of doc_id, the same in every run.
+
+    Each group is ranked in `salts` parts first, so that a group of most rows is dealt over as many tasks, and the last
+    ranking sees k rows of each part at most.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(salts)))
+    for by in ([group, "_part"], [group]):
+        hashed = hashed.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_k") <= k)
+    return hashed.drop("_h", "_part", "_k")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, which bounds what a Python step holds."""
     for batch in batches:

@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Held, bucket_of, map_slices
+from millrace.llm.common import Held, bucket_of, drawn, map_slices
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 CHUNK, MARK = 32, "▁"
@@ -109,8 +109,7 @@ def sample(labelled: DataFrame, docs_per_language: int, max_languages: int) -> D
     """lang, text of the sampled rows. Ids are ranked without their texts; at most docs_per_language * max_languages of them are broadcast."""
     known = labelled.where("lang is not null and text is not null and doc_id is not null")
     top = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(F.broadcast(top), "lang", "left_semi").select("lang", "doc_id").withColumn("k", F.row_number().over(by)).where(F.col("k") <= docs_per_language)
+    ids = drawn(known.join(F.broadcast(top), "lang", "left_semi").select("lang", "doc_id"), "lang", docs_per_language)
     return known.join(F.broadcast(ids.select("lang", "doc_id").distinct()), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
 
