@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +20,13 @@ _GRAMMAR = r"^[+-]?([0-9]{1,12}\.?[0-9]{0,6}0*|\.[0-9]{1,6}0*)([eE][+-]?[0-9]{1,
 
 
 def strip(text: Column) -> Column:
-    """`text` without white space at either end."""
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    """`text` without white space at either end. Texts that neither start nor end with any, nearly all, are not searched."""
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(f"[{WHITE}]"), F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | (strip(text) == "")
+    return text.isNull() | text.rlike(f"^[{WHITE}]*$")
 
 
 def latin_digits(text: Column) -> Column:
@@ -31,19 +34,30 @@ def latin_digits(text: Column) -> Column:
     return F.translate(text, ARABIC, LATIN)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, also within the lambdas of higher-order functions."""
+    return F.transform(F.array(value), body).getItem(0)
+
+
 def parse_number(text: Column) -> Column:
     """The number a stripped text stands for, as decimal(18,6); null if it is none or does not fit exactly.
 
     Known price words; digits of either script; either decimal separator; thousands separators anywhere; a currency
-    suffix; an underscore between digits; an exponent. Texts such as NaN or Infinity are no numbers.
+    suffix; an underscore between digits; an exponent. Texts such as NaN or Infinity are no numbers. Plain digits, which
+    nearly all values are, take a short way.
     """
-    plain = F.regexp_replace(F.translate(latin_digits(text), "٫٬", ".,"), _SUFFIX, "")
-    plain = F.regexp_replace(F.translate(strip(plain), ",", ""), "(?<=[0-9])_(?=[0-9])", "")
-    exact = plain.try_cast("decimal(38,12)")
-    parsed = F.when(plain.rlike(_GRAMMAR) & (exact.try_cast(NUMBER).cast("decimal(38,12)") == exact), exact.try_cast(NUMBER))
+
+    def plain(text: Column) -> Column:
+        bare = F.regexp_replace(F.translate(latin_digits(text), "٫٬", ".,"), _SUFFIX, "")
+        return F.regexp_replace(F.translate(strip(bare), ",", ""), "(?<=[0-9])_(?=[0-9])", "")
+
+    def read(bare: Column) -> Column:
+        return let(F.when(bare.rlike(_GRAMMAR), bare.try_cast("decimal(38,12)")), lambda exact: F.when(exact.try_cast(NUMBER).cast("decimal(38,12)") == exact, exact.try_cast(NUMBER)))
+
+    parsed = let(plain(text), read)
     for word, value in PRICE_WORDS.items():
         parsed = F.when(text == word, F.lit(value).cast(NUMBER)).otherwise(parsed)
-    return parsed
+    return F.when(text.rlike("^[0-9]{1,12}$"), text.try_cast(NUMBER)).otherwise(parsed)
 
 
 def number_rules(text: Column) -> Column:
@@ -55,18 +69,20 @@ def number_rules(text: Column) -> Column:
         (text.rlike("[,٬]"), "THOUSANDS_SEPARATOR_NORMALIZED"),
         (text.rlike(_AUDITED_SUFFIX), "CURRENCY_SUFFIX_REMOVED"),
     ]
-    return F.array_compact(F.array(*(F.when(found, F.lit(code)) for found, code in codes)))
+    found = F.array_compact(F.array(*(F.when(when, F.lit(code)) for when, code in codes)))
+    return F.when(text.rlike("^-?[0-9]+(\\.[0-9]+)?$"), F.expr("cast(array() as array<string>)")).otherwise(found)
 
 
 def number_text(value: Column) -> Column:
     """A decimal as the shortest plain digits: 12000, 10.5."""
-    return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    whole = value.cast("decimal(24,0)")
+    short = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    return F.when(whole == value, whole.cast("string")).otherwise(short)
 
 
 def ratio_text(total: Column, by: Column) -> Column:
     """total / by as plain digits where it ends within six places, else as the nearest double."""
-    exact = F.try_divide(total, by).try_cast(NUMBER)
-    return F.when((exact * by) == total, number_text(exact)).otherwise(F.try_divide(total, by).cast("double").cast("string"))
+    return let(F.try_divide(total, by).try_cast(NUMBER), lambda exact: F.when((exact * by) == total, number_text(exact)).otherwise(F.try_divide(total, by).cast("double").cast("string")))
 
 
 def positive_integer(value: Column) -> Column:
