@@ -58,7 +58,7 @@ dup AS (SELECT trim(order_id) AS id FROM dirty WHERE trim(order_id) <> '' GROUP
 p AS (
   SELECT *, {_num("delivery_cost")} AS delivery, {_num("payment_amount")} AS payment, {_num("total_amount")} AS order_total, {_ISO} AS iso, {_DMY} AS dmy,
     {_valid_email("customer_email")} AS email_ok, {_MENDED} AS mended, {_NATIONAL} AS national, trim(order_id) IN (SELECT id FROM dup) AS duplicate,
-    json_valid(items_json) AS is_json, CASE WHEN json_valid(items_json) THEN json_array_length(items_json) ELSE 0 END AS n_items
+    json_valid(items_json) AS is_json, CASE WHEN json_valid(items_json) THEN CAST(json_array_length(items_json) AS BIGINT) ELSE 0 END AS n_items
   FROM dirty),
 it0 AS (SELECT o_orderkey, delivery, payment, order_total, i, json_extract(items_json, '$[' || i || ']') AS e FROM (SELECT *, unnest(range(0, n_items)) AS i FROM p WHERE n_items > 0)),
 it1 AS (SELECT *, {_num("json_extract_string(e, '$.qty')")} AS qty0, {_num("json_extract_string(e, '$.unit_price')")} AS price0, {_num("json_extract_string(e, '$.total')")} AS total0 FROM it0),
@@ -382,7 +382,7 @@ SQL["status_samples"] = f"{_PARSED} SELECT quality_status, CAST(k AS INTEGER) AS
 def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """This run's validated documents, and a table as an earlier run left it: even orders, every tenth of another city."""
     now = F.lit("2025-02-01 00:00:00").cast("timestamp")
-    rows = classified(spark, sf_dir)
+    rows = classified(spark, sf_dir).persist()  # both sides and both uses of each read it
     city = F.when(F.col("o_orderkey") % 10 == 0, F.lit("عدن")).otherwise(F.col("cleaned_record.city"))
     earlier = rows.where("o_orderkey % 2 = 0").withColumn("cleaned_record", F.col("cleaned_record").withField("city", city))
     return validated_documents(rows, "quality-2", now), validated_documents(earlier, "quality-1", F.lit("2025-01-15 00:00:00").cast("timestamp"))
