@@ -46,7 +46,6 @@ BLOCK = 512
 #: Class rows (about 60 bytes each) up to which those in clusters are broadcast to their texts; beyond, both are shuffled.
 BROADCAST_ROWS = 500_000
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 
@@ -251,10 +250,10 @@ def _candidate_forest(looks: tuple[tuple[int, int], ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list, list] = ([], [])
-        for _, parts in _groups(batches, 3):
+        for (_, low, high), parts in _groups(batches, 3):
             side, ids = _column(parts, 3), _column(parts, 4)
             sig = np.frombuffer(b"".join(_column(parts, 5)), np.uint16).reshape(len(ids), HASHES)
-            _forest_of(np.array(side), ids, sig, looks, out)
+            _forest_of(np.array(side), ids, sig, low == high, looks, out)
             if len(out[0]) >= 4096:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
                 out = ([], [])
@@ -263,13 +262,12 @@ def _candidate_forest(looks: tuple[tuple[int, int], ...]):
     return run
 
 
-def _forest_of(side: np.ndarray, ids: list, sig: np.ndarray, looks: tuple, out: tuple[list, list]) -> None:
-    if len(ids) == 2:
+def _forest_of(side: np.ndarray, ids: list, sig: np.ndarray, same: bool, looks: tuple, out: tuple[list, list]) -> None:
+    if len(ids) == 2 and same:
         if all((sig[0, :n] == sig[1, :n]).sum() >= m for n, m in looks):
             out[0].append(ids[0]), out[1].append(ids[1])
         return
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(right)  # a block with itself
     forest = _Forest(len(ids))
     for a, b in _likely(sig[left], sig[left if same else right], same, looks):
         for x, y in zip(left[a].tolist(), (left if same else right)[b].tolist(), strict=True):
@@ -285,14 +283,14 @@ def _verify(threshold: float, looks: tuple[tuple[int, int], ...]):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _groups(batches, 3):
+        for (_, low, high), parts in _groups(batches, 3):
+            same = low == high
             rows = dict(zip(zip(_column(parts, 3), _column(parts, 4), strict=True), zip(_column(parts, 5), _column(parts, 6), _column(parts, 7), strict=True), strict=True))
             side, ids = np.array([k for k, _ in rows]), [v for _, v in rows]  # a class once, though its row may repeat
             copies = np.array([x[0] for x in rows.values()], np.int64)
             sig = np.frombuffer(b"".join([x[1] for x in rows.values()]), np.uint16).reshape(len(ids), HASHES)
             sets = [np.frombuffer(x[2], np.uint64) for x in rows.values()]
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            same = not len(right)
             other = left if same else right
             links, forest, edges = np.zeros(len(ids), np.int64), _Forest(len(ids)), []
             for a, b in _likely(sig[left], sig[other], same, looks):

@@ -47,7 +47,7 @@ def made(seed, families=12, most=30):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 8)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 512), (2, 8), (3, 2)])
 def test_links_and_groups_are_those_of_brute_force(spark, docs, seed, block):
     texts = made(seed)
     links, groups = brute(texts)
