@@ -1,7 +1,7 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Patterns find the plain forms (e-mail, IP address, payment card, phone with +). Around whatever else looks like one of
-these (an @, the words at and dot, seven or more digits close together) a semi-Markov field reads the tokens: every
+these (an @, an at in brackets or before words with a dot, seven or more digits close together) a semi-Markov field reads the tokens: every
 stretch of up to MAX_TOKENS tokens is a candidate segment of each type, scored by features of the whole span (its
 shape, digits, checksum, brackets, neighbours and the cue words before it). Dynamic programming over segment ends
 chooses boundaries and types together, each token outside a segment counting 0. Spans it finds that touch no
@@ -90,7 +90,8 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field ----
 
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|[\s\S]")
-_ANCHOR = re.compile(r"@|(?<![0-9])[0-9](?:[ ().\-/]{0,2}[0-9]){6}|\b(?:at|AT)\b[^\n]{1,40}?\b(?:dot|DOT)\b")
+#: A part of every form that _SPELLED and _SPACED take: an @, an at in brackets, an at before a label and any dot.
+_ANCHOR = re.compile(r"@|(?<![0-9])[0-9](?:[ ().\-/]{0,2}[0-9]){6}|\b(?:at|AT)\b[^\n]{1,40}?\b(?:dot|DOT)\b|[\[({] ?(?:at|AT) ?[\])}]|(?<= )(?:at|AT)(?= [A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-])")
 _NATIONAL = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _TRUNK = re.compile(r"(?:00[1-9][0-9]{0,2}|0[1-9][0-9]{0,4})(?:[ /.-][0-9]{2,9}){1,5}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) )[A-Za-z0-9-]+(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]+)+")

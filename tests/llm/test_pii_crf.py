@@ -65,6 +65,21 @@ def test_added_spans():
         assert p.all_spans(clean, field) == ([], []), clean
 
 
+@pytest.mark.parametrize("address", ["jane.doe (at) example.com", "bob[at]example.org", "bob {AT} mail.example.org", "jane.doe at example.com", "bob AT example[.]org", "bob at alabelofmorethanfortylettersandnotasinglebreak dot com", "bob (at) alabelofmorethanfortylettersandnotasinglebreak (dot) com", "bob @ example.com"])
+def test_every_spelled_form_is_read(address):
+    assert p._SPELLED.fullmatch(address) or p._SPACED.fullmatch(address)
+    for text in (f"write to {address} today", address):
+        assert [(k, text[a:b]) for a, b, k in p.all_spans(text, p.trained())[1]] == [("email", address)]
+
+
+def test_generated_forms_in_the_whole_text():
+    field = p.trained()
+    for seed in (77, 78):
+        for text, gold in p.generated(300, seed=seed):
+            spans = p.all_spans(text, field)[1]
+            assert set(spans) >= {s for s in field.decode(text, 0, len(text)) if s in gold}, text
+
+
 def test_rows(spark, docs):
     text = "é mail a.b@c.de, ip 10.0.0.1 card 4111 1111 1111 1111 or +1 (212) 555-0187"
     rows = docs((1, text), (2, None), (3, ""), (4, "word " * 30000 + "x@y.zz"), (1, text))
