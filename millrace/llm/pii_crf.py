@@ -12,7 +12,8 @@ seeded generator makes: each form of each type, and look-alikes that are none (d
 long numbers that fail the card check). They take a few seconds, on the driver.
 
 Defined results: a null text is empty and has no spans; positions are code points, ends exclusive; rows are judged one
-by one. Work and memory per text grow in proportion to it: regions are cut at REGION tokens.
+by one. Work and memory per text grow in proportion to it: a region is read once, however many anchors it has, and
+holds whole every segment of up to MAX_TOKENS tokens about them.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import map_slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Tokens of a segment at most, tokens before it that are read for its cue, characters to look back for both at first.
 MAX_TOKENS, CONTEXT, REGION = 24, 8, 160
 Span = tuple[int, int, str]
 
@@ -128,17 +130,20 @@ def _span_features(text: str, start: int, end: int, cue: str) -> list[str]:
     return out + [f"cue {kind}" for kind, words in _CUES.items() if cue in words]
 
 
-def segments(text: str, low: int, high: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
-    """Token starts (and the end) of text[low:high], and the candidate segments (first token, token after the last, features)."""
+def _tokens(text: str, low: int, high: int) -> tuple[list[re.Match], list[int]]:
+    """The tokens of text[low:high] and their starts (and the end)."""
     tokens = list(_TOKEN.finditer(text, low, high))
-    places = [t.start() for t in tokens] + [high]
+    return tokens, [t.start() for t in tokens] + [high]
+
+
+def _candidates(text: str, tokens: list[re.Match], places: list[int]) -> Iterator[tuple[int, int, list[str]]]:
+    """The candidate segments (first token, token after the last, features), by first token."""
     kinds = [("d" if "0" <= (c := t[0][0]) <= "9" else "a" if c.isalpha() else "s" if c.isspace() else c) for t in tokens]
     cue, cues = "", []
     for t, kind in zip(tokens, kinds, strict=True):
         cues.append(cue)
         if kind == "a":
             cue = t[0].lower()
-    out = []
     for i, kind in enumerate(kinds):
         if kind not in ("d", "a", "+", "("):
             continue
@@ -157,8 +162,13 @@ def segments(text: str, low: int, high: int) -> tuple[list[int], list[tuple[int,
             if marks > 1 or words > 8 or words and not (marks or spelled) and words > 3 or digits > 24:
                 break
             if k in ("d", "a") and (digits >= 7 and not words or (marks or spelled) and j > i + 1 or digits >= 4 and not words and j > i + 4):
-                out.append((i, j + 1, _span_features(text, places[i], places[j + 1], cues[i])))
-    return places, out
+                yield i, j + 1, _span_features(text, places[i], places[j + 1], cues[i])
+
+
+def segments(text: str, low: int, high: int) -> tuple[list[int], list[tuple[int, int, list[str]]]]:
+    """Token starts (and the end) of text[low:high], and the candidate segments."""
+    tokens, places = _tokens(text, low, high)
+    return places, list(_candidates(text, tokens, places))
 
 
 def _sum_logs(values: list[float]) -> float:
@@ -166,6 +176,13 @@ def _sum_logs(values: list[float]) -> float:
     return top + math.log(sum(math.exp(v - top) for v in values))
 
 
+def _settle(best: list[float], back: list, done: int, to: int) -> None:
+    """Makes the sums after `done`, up to `to`, final: a token left out counts 0, and wins a tie."""
+    for k in range(done + 1, to + 1):
+        if best[k - 1] >= best[k]:
+            best[k], back[k] = best[k - 1], None
+
+
 class Field:
     """Weights by (type, feature)."""
 
@@ -177,21 +194,16 @@ class Field:
         return sum(get((kind, f), 0.0) for f in features)
 
     def decode(self, text: str, low: int, high: int) -> list[Span]:
-        """The best segmentation's spans."""
-        places, found = segments(text, low, high)
-        by_end: dict[int, list[tuple[int, str, float]]] = {}
-        for i, j, features in found:
+        """The best segmentation's spans. Candidates are scored as they come, so that none are held."""
+        tokens, places = _tokens(text, low, high)
+        best, back, done = [0.0] * len(places), [None] * len(places), 0
+        for i, j, features in _candidates(text, tokens, places):
+            _settle(best, back, done, i)
+            done = i
             for kind in KINDS:
-                if (s := self.score(kind, features)) > 0:  # a segment below 0 loses to leaving its tokens out
-                    by_end.setdefault(j, []).append((i, kind, s))
-        if not by_end:
-            return []
-        best, back = [0.0] * len(places), [None] * len(places)
-        for j in range(1, len(places)):
-            best[j] = best[j - 1]
-            for i, kind, s in by_end.get(j, ()):
-                if best[i] + s > best[j]:
+                if (s := self.score(kind, features)) > 0 and best[i] + s > best[j]:  # below 0 it loses to leaving its tokens out
                     best[j], back[j] = best[i] + s, (i, kind)
+        _settle(best, back, done, len(places) - 1)
         spans, j = [], len(places) - 1
         while j > 0:
             if back[j]:
@@ -287,26 +299,45 @@ def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """The patterns' spans, and those with the field's that touch none of them."""
     base = base_spans(text)
     added: list[Span] = []
-    done = 0
-    for m in _ANCHOR.finditer(text):
-        if m.start() < done or any(a <= m.start() and m.end() <= b for a, b, _ in base):
-            continue
-        low, high = _around(text, m.start(), m.end())
-        done = max(m.end(), high - 2 * CONTEXT)
-        added += [s for s in field.decode(text, max(low, 0), high) if all(s[1] <= a or b <= s[0] for a, b, _ in base) and all(s[1] <= a or b <= s[0] for a, b, _ in added)]
+    for low, high in _regions(text, base):
+        added += [s for s in field.decode(text, low, high) if all(s[1] <= a or b <= s[0] for a, b, _ in base)]
     return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def _around(text: str, start: int, end: int) -> tuple[int, int]:
-    """The region to read about an anchor: some tokens to either side, at most REGION characters beyond it."""
-    tokens = list(_TOKEN.finditer(text, max(0, start - REGION), start))[-3 * CONTEXT :]
-    low = tokens[0].start() if tokens else start
-    high = end
-    for k, t in enumerate(_TOKEN.finditer(text, end, min(len(text), end + REGION))):
-        high = t.end()
-        if k >= 3 * CONTEXT:
+def _regions(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """The stretches to read: each holds whole every segment that its anchors can be in; those that touch are one."""
+    low = high = -1
+    for m in _ANCHOR.finditer(text):
+        if any(a <= m.start() and m.end() <= b for a, b, _ in base):
+            continue
+        if m.start() > high:
+            before = _before(text, m.start())
+            if before > high:
+                if high >= 0:
+                    yield low, high
+                low = before
+        high = max(high, _after(text, m.end()))
+    if high >= 0:
+        yield low, high
+
+
+def _before(text: str, start: int) -> int:
+    """Where the tokens begin that a segment with an anchor at `start` may have before it, and CONTEXT tokens for its cue."""
+    want, size = MAX_TOKENS + CONTEXT, REGION
+    while True:
+        tokens = list(_TOKEN.finditer(text, max(0, start - size), start))
+        if size >= start or len(tokens) > want:  # the first of them may be part of a token
+            return tokens[-want:][0].start() if tokens else start
+        size *= 2
+
+
+def _after(text: str, end: int) -> int:
+    """Where the tokens end that a segment with an anchor up to `end` may have after it, and the one that follows."""
+    for k, t in enumerate(_TOKEN.finditer(text, end)):
+        end = t.end()
+        if k >= MAX_TOKENS:
             break
-    return low, high
+    return end
 
 
 def _joined(spans: list[Span]) -> str:

@@ -80,6 +80,28 @@ def test_generated_forms_in_the_whole_text():
             assert set(spans) >= {s for s in field.decode(text, 0, len(text)) if s in gold}, text
 
 
+@pytest.mark.parametrize("first", ["2024-05-12 10.30.00", "#12345678", "a.b@c.de", "@name", "room at the blue dot"])
+@pytest.mark.parametrize("entity", ["jane.doe (at) northwindtraders (dot) com", "bob[at]example[dot]org", "0044 20 1234567", "(212) 555-0187"])
+def test_entities_at_every_offset_after_an_anchor(first, entity):
+    words = "some of the other plain words that fill a line with no meaning of their own and then still more".split() * 2
+    for n in range(1, len(words)):
+        text = " ".join(["Ordered", first, *words[:n], entity, "is the one to ask about all of this when it is late"])
+        assert entity in [text[a:b] for a, b, _ in p.all_spans(text, p.trained())[1]], text
+
+
+def test_long_tokens_and_many_anchors():
+    field = p.trained()
+    name = "a" * 400
+    text = f"write to {name} (at) {name} (dot) com today"
+    assert [text[a:b] for a, b, _ in p.all_spans(text, field)[1]] == [text[9:-6]]
+    text = " ".join(f"bob{k} (at) example (dot) com, 2024-05-12 10.30.00," for k in range(200))
+    assert len(p.all_spans(text, field)[1]) == 200
+    for text, _ in p.generated(60, seed=6):
+        many = "\n".join([text] * 5)
+        found = [s for s in field.decode(many, 0, len(many)) if all(s[1] <= a or b <= s[0] for a, b, _ in p.base_spans(many))]
+        assert set(p.all_spans(many, field)[1]) == set(found) | set(p.base_spans(many))
+
+
 def test_rows(spark, docs):
     text = "é mail a.b@c.de, ip 10.0.0.1 card 4111 1111 1111 1111 or +1 (212) 555-0187"
     rows = docs((1, text), (2, None), (3, ""), (4, "word " * 30000 + "x@y.zz"), (1, text))
