@@ -40,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages of eight words or more are cut; documents that are mostly such passages go."""
+    """Documents that are mostly benchmark items, of any length, go; of the others passages of eight words or more are cut."""
     return remove_contamination(docs, table(spark, sf_dir, "benchmark"))
 
 

@@ -233,8 +233,8 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """`docs` without contaminated passages: same columns, n_chars brought up to date.
 
-    A hit run of at least `max_run` words is cut out of the text; a document of which such runs cover more than
-    `max_coverage` goes. Shorter hits (items of a few words) stay, and so does every document without hits, unchanged.
+    A document of which hits cover more than `max_coverage`, items of a few words included, goes. Of the others a hit
+    run of at least `max_run` words is cut out of the text; shorter hits stay, and so does every document without hits.
     """
     blocks = automata(benchmark, window)
     place = docs.columns.index("text")
@@ -248,13 +248,12 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = W
                 keep = []
                 for k, (spans, _) in enumerate(found):
                     keep.append(True)
-                    spans = [(a, b) for a, b in spans if b - a >= max_run]
                     if not spans:
                         continue
                     places = [m.span() for m in WORDS.finditer(texts[k].translate(_LOWER))]
                     covered = sum(b - a for a, b in spans) / len(places)
                     keep[-1] = covered <= max_coverage
-                    for a, b in reversed(spans):
+                    for a, b in reversed([x for x in spans if x[1] - x[0] >= max_run]):
                         texts[k] = texts[k][: places[a][0]] + texts[k][places[b - 1][1] :]
                 columns = list(part.columns)
                 columns[place] = pa.array(texts, part.schema.field(place).type)

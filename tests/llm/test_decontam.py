@@ -70,3 +70,15 @@ def test_removal(spark, docs, benchmark):
     rows = docs((1, clean), (2, clean + passage + ". The end"), (3, passage), (4, None), (5, "red green blue and some more"))
     got = {r["doc_id"]: r for r in remove_contamination(rows, benchmark).collect()}
     assert set(got) == {1, 2, 4, 5} and got[1]["text"] == clean and got[2]["text"] == clean + ". The end" and got[2]["n_chars"] == len(got[2]["text"]) and got[5]["text"].startswith("red")
+
+
+def test_documents_of_short_items_go(spark, docs):
+    items = ["which planet is the red one", "name the capital of old france", "how many legs has a spider"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    passage = "a long passage that is put in with nine words"
+    benchmark = benchmark.union(spark.createDataFrame([(9, passage)], "item_id long, text string"))
+    rest = "nothing of this is in any item at all"
+    rows = docs((1, ", then ".join(items)), (2, f"{rest} {items[0]} {rest}"), (3, f"{items[0]} x {items[1]} y {passage} z and then"), (4, f"{items[0]} {rest} {passage} {rest} end"))
+    assert {r["doc_id"]: r["contaminated"] for r in contamination_digest(rows, benchmark).collect()}[1]
+    got = {r["doc_id"]: r["text"] for r in remove_contamination(rows, benchmark).collect()}
+    assert got == {2: f"{rest} {items[0]} {rest}", 4: f"{items[0]} {rest}  {rest} end"}
