@@ -1,9 +1,8 @@
 """A corpus pipeline of five stages: language, near copies, benchmark passages, personal data, mixture.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns documents with the
-columns of the table; the last returns the mixture, a row for each copy that it takes. doc_id is the key of documents:
-of rows that repeat one, the stage for near copies keeps one; rows without one pass every stage on their text and are drawn
-in the last. SQL can't express the learned and drawn stages, so there is no oracle; tests compare with brute force.
+columns of the table; the last returns the mixture, a row for each copy that it takes. A row is a document: the stage for
+near copies tells rows apart by a key of its own, so a null doc_id, or one that repeats, changes no decision. SQL can't express the learned and drawn stages, so there is no oracle; tests compare with brute force.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stage_table, table
+from millrace.llm.common import cut, stage_table, table
 from millrace.llm.decontam import remove_contamination
 from millrace.llm.langid import identify, learn
 from millrace.llm.mixing import mix
@@ -30,13 +29,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    gone = link_groups(docs).where("doc_id <> group_id").select("doc_id").distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        again = docs.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-        docs = docs.join(repeated.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies the row with the smallest doc_id stays, one with a null doc_id only where there is no other.
+
+    Rows are told apart by a key of their own, written with them once, as doc_id may be null or repeat. Different texts
+    under one doc_id all stay. Of rows without words, which are no near copies, those that repeat doc_id and text make one.
+    """
+    key = "_row"
+    keyed = stage_table(docs.withColumn(key, F.monotonically_increasing_id()), "near_copies_input")
+    linked = link_groups(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "group_id")
+    text = F.coalesce("text", F.lit(""))
+    bare = F.when(F.col("doc_id").isNotNull() & ~text.rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), text)
+    named = cut(linked.join(keyed.select(key, "doc_id", bare.alias("_bare")), key))
+    group = [F.when(F.col("_bare").isNull(), F.col("group_id")), F.when(F.col("_bare").isNotNull(), F.col("doc_id")), F.col("_bare")]
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key]
+    stays = named.groupBy(*(g.alias(f"_g{k}") for k, g in enumerate(group))).agg(first.alias(key)).select(key)
+    gone = named.select(key).join(stays, key, "left_anti")
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

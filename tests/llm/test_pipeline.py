@@ -55,6 +55,23 @@ def test_stages(spark, folder):
     assert abs(sum(r["size"] for r in taken) - total) < 3 * 90 and {r["copy"] for r in taken} <= {1, 2, 3}
 
 
+def test_near_copies_without_a_usable_doc_id(spark, docs):
+    draw = random.Random(4)
+    texts = [" ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(40)) for _ in range(7)]
+    rows = docs(
+        (None, texts[0]), (None, texts[0]), (None, texts[0] + " more"),  # copies under no id: one stays
+        (5, texts[1]), (None, texts[1]),  # the row with an id stays
+        (1, texts[2]), (2, texts[2]), (2, texts[3]),  # the copy under id 2 goes, the other text stays
+        (3, texts[4]), (3, texts[5]), (3, texts[5]),  # two texts under one id stay
+        (9, texts[6]), (-4, texts[6]), (7, "!!!"), (7, "!!!"), (8, "!!!"), (None, None), (None, None),
+    )
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, rows, "").collect()), key=str)
+    alone = [x for x in got if x[0] is None and x[1]]
+    assert len(alone) == 1 and alone[0][1].startswith(texts[0])
+    want = [(5, texts[1]), (1, texts[2]), (2, texts[3]), (3, texts[4]), (3, texts[5]), (-4, texts[6]), (7, "!!!"), (8, "!!!"), (None, None), (None, None)]
+    assert sorted(got, key=str) == sorted([*want, *alone], key=str)
+
+
 def test_run_applies_the_stages(spark, folder):
     path, _ = folder
     got = corpus_pipeline.run(spark, path)
