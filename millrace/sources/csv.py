@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.schema import CORRUPT, RAW_COLUMNS, csv_schema
 
-#: Surplus fields of a long record that the small profile recovers.
-MOST_EXTRA = 64
-
 
 class SchemaError(RuntimeError):
     """The data does not have the contracted columns."""
@@ -29,15 +28,27 @@ def read_small(spark: SparkSession, path: str) -> DataFrame:
     """
     options = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true", "maxCharsPerColumn": "-1", "enforceSchema": "true", "columnPruning": "false", "emptyValue": ""}
     rows = spark.read.options(**options).schema(csv_schema()).csv(path)
-    extra = [f"_x{k}" for k in range(MOST_EXTRA)]
-    wide = ", ".join(f"{c} string" for c in (*RAW_COLUMNS, *extra))
+    wide = ", ".join(f"{c} string" for c in RAW_COLUMNS)
     again = F.from_csv(F.col(CORRUPT), wide, {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"})
-    rows = rows.withColumn("_again", F.when(F.col(CORRUPT).isNotNull(), again))
-    surplus = F.array(*(F.col(f"_again.{x}") for x in extra))
-    last = F.coalesce(F.array_max(F.transform(surplus, lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    rows = rows.withColumn("_again", F.when(F.col(CORRUPT).isNotNull(), again)).withColumn("_surplus", _surplus(len(RAW_COLUMNS))(CORRUPT))
     bad = F.col(CORRUPT).isNotNull()
     columns = [F.when(bad, F.col(f"_again.{c}")).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in RAW_COLUMNS]
-    return rows.select(*columns, F.lit(None).cast("string").alias(CORRUPT), F.when(bad & (last > 0), F.slice(surplus, 1, F.greatest(last, F.lit(1)))).alias("extra_values"))
+    return rows.select(*columns, F.lit(None).cast("string").alias(CORRUPT), F.col("_surplus").alias("extra_values"))
+
+
+def _surplus(width: int) -> Callable:
+    """A function of a record: its fields beyond `width`, however many, the empty ones null; null if there are none."""
+
+    def fields(record: str | None) -> list[str | None] | None:
+        import csv
+        import io
+
+        if record is None:
+            return None
+        csv.field_size_limit(2**31 - 1)
+        return [x or None for x in next(csv.reader(io.StringIO(record, newline="")), [])[width:]] or None
+
+    return F.udf(fields, "array<string>")
 
 
 def corrupt_rows(df: DataFrame, column: str = CORRUPT) -> DataFrame:

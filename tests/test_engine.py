@@ -85,6 +85,15 @@ def test_csv_profiles(spark, tmp_path):
     assert count_rows(read_large(spark, str(path)))[1] >= 2
 
 
+def test_csv_surplus_of_any_length(spark, tmp_path):
+    path = tmp_path / "wide.csv"
+    record = lambda name: csv_text({"order_id": name}, header=False).strip("\r\n")
+    extra = [f"x{k}" for k in range(199)]
+    path.write_text(csv_text({}) + record("many") + "," + ",".join(extra) + ',"a ""b"",\nc"\n' + record("ends") + ",more,,\n")
+    got = {r["order_id"]: r["extra_values"] for r in read_small(spark, str(path)).collect()}
+    assert got == {"o-0": None, "many": [*extra, 'a "b",\nc'], "ends": ["more", None, None]}
+
+
 def test_schema_gate(spark):
     with pytest.raises(SchemaError):
         check_schema(spark.createDataFrame([(1,)], "order_id int"))
