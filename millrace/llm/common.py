@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that a Python step holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -20,14 +21,37 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="millrace-"))
+        made = named or tempfile.mkdtemp(prefix="millrace-")
+        sc.setCheckpointDir(made)
+        if named is None:
+            delete_on_exit(spark, made)
     return named or sc.getCheckpointDir()
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver's JVM remove `path`, which must exist, when it ends, be the session stopped before or not."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to any more, so that executors delete their files."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and read back from the shared folder, so that a lost executor costs no recomputation."""
+    """`df`, computed once and read back from the shared folder, so that a lost executor costs no recomputation. Removed when the driver ends."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        delete_on_exit(df.sparkSession, file.get())
+    return done
 
 
 def stage_table(df: DataFrame, name: str) -> DataFrame:
@@ -35,16 +59,21 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    delete_on_exit(spark, path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:  # the session has ended
-        return
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def quoted(name: str) -> F.Column:
+    """The column of that name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +97,13 @@ def drawn(rows: DataFrame, group: str, k: int, salts: int = 64) -> DataFrame:
     return hashed.drop("_h", "_part", "_k")
 
 
+def one_text(rows: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """`keys` and text, one row for each of `ids` (distinct, broadcast): of several rows the text with the smallest hash."""
+    found = rows.select(*keys, "text").join(F.broadcast(ids), keys, "left_semi")
+    least = found.groupBy(*keys).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+    return least.select(*keys, F.col("least.text").alias("text"))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `rows` rows, which bounds what a Python step holds."""
     for batch in batches:
@@ -75,6 +111,30 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def slices_by_bytes(batches: Iterator[pa.RecordBatch], place: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of which the texts in column `place` have about `most` bytes, a single longer text alone."""
+    for batch in batches:
+        start = held = 0
+        for at, size in enumerate(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_pylist()):
+            if held and held + size > most:
+                yield batch.slice(start, at - start)
+                start, held = at, 0
+            held += size + 64
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType) -> DataFrame:
+    """mapInArrow for columns of any names, dots included; `run` meets them, and is met, by place."""
+    inner = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in run(batches):
+            yield part.rename_columns(inner.names)
+
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))).mapInArrow(placed, inner).toDF(*schema.names)
+
+
 def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], dict], schema: str, names: list[str], types: list[pa.DataType], rows: int = SLICE_ROWS) -> DataFrame:
     """Applies `function` (slice -> lists by column name) within each task, by Arrow batches."""
     out = pa.schema(list(zip(names, types, strict=True)))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, stage_table
+from millrace.llm.common import cut, quoted, stage_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -103,18 +103,14 @@ def _spread(equal: DataFrame, chunk: int = 10_000) -> DataFrame:
     return few.unionByName(many).withColumn("ordinal", F.explode(F.sequence(at, F.least(F.col("n"), at + chunk) - 1))).drop("chunk", "n")
 
 
-def _quoted(name: str) -> F.Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, fan: int = FAN, seed: int = 1) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and the columns of `carry` for each row of `docs`."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")
     carry = tuple(c for c in carry if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken"))
     marks = []
     if carry:  # rows are equal only if what they carry is; two hashes of 64 bits stand for it
-        docs = stage_table(docs.select("doc_id", "source", "text", *(_quoted(c) for c in carry if c != "text"), F.monotonically_increasing_id().alias("_mix_row")), "mix_input")
-        held = [x for c in carry for x in (_quoted(c), _quoted(c).isNull())]
+        docs = stage_table(docs.select("doc_id", "source", "text", *(quoted(c) for c in carry if c != "text"), F.monotonically_increasing_id().alias("_mix_row")), "mix_input")
+        held = [x for c in carry for x in (quoted(c), quoted(c).isNull())]
         marks = [F.xxhash64(*held).alias("mark"), F.xxhash64(F.lit("second"), *held).alias("mark_2")]
     key = ["source", "doc_id", "size", *(["mark", "mark_2"] if carry else [])]
     measured = docs.select("source", "doc_id", size, *marks, *(["_mix_row"] if carry else []))
@@ -151,8 +147,8 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[float, ...]
     settled = rows.where("open <= 0").select("doc_id", *row_key, "size", *made, F.col("whole").alias("copies"))
     both = drawn.unionByName(settled).withColumn("taken", F.col("size") * F.col("copies"))
     if carry:
-        both = both.join(docs.select("_mix_row", *map(_quoted, carry)), "_mix_row")
-    return both.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *map(_quoted, carry))
+        both = both.join(docs.select("_mix_row", *map(quoted, carry)), "_mix_row")
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", *map(quoted, carry))
 
 
 def _rounded(place: str) -> F.Column:

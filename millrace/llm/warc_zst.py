@@ -7,8 +7,9 @@ after it, and the payload's digest where the record holds the payload.
 
 Records with equal payloads (SHA-1 and length) of at least `min_revisit` bytes: the one with the smallest page_id is a
 `response`, the others are `revisit` records that refer to it and hold no payload. Which is the smallest is an
-aggregation by digest (partial sums first) and a join with the digests that occur more than once, so that a hot
-payload does not gather its pages anywhere.
+aggregation by digest (partial sums first) and a join with the digests that occur more than once: a broadcast of up to
+BROADCAST_DIGESTS of them, else a shuffle in which each digest's pages are dealt over SALTS tasks, so that a hot payload
+does not gather its pages anywhere. Archives are removed when the driver ends.
 
 Tasks write archives of at most `archive_bytes` into the shared folder under names of their own and return a manifest
 row for each; only the archives in the manifest are read, so a task that is run again leaves no double records. The
@@ -34,10 +35,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, shared_dir, stage_table
+from millrace.llm.common import cut, delete_on_exit, shared_dir, stage_table
 
 SKIPPABLE, MAGIC = 0x184D2A5D, zstandard.MAGIC_NUMBER
 ARCHIVE_BYTES, DICTIONARY_BYTES, DICTIONARY_RECORDS, LEVEL = 64_000_000, 32_000, 200, 3
+#: Digests (about 60 bytes each) up to which those that repeat are broadcast, and tasks that a digest's pages are dealt over beyond.
+BROADCAST_DIGESTS, SALTS = 300_000, 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -71,11 +74,25 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, payl
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def arrow_uri(path: str) -> str:
+    """The path as Arrow's file systems name it; Hadoop's names for the same stores differ."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{path}"
+    if scheme in ("file", "dbfs"):  # Hadoop writes file:/x as well; dbfs is mounted below /dbfs
+        return "file://" + "/dbfs" * (scheme == "dbfs") + "/" + rest.lstrip("/")
+    if scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if scheme in ("wasb", "wasbs"):
+        return scheme.replace("wasb", "abfs") + ":" + rest.replace(".blob.core.windows.net", ".dfs.core.windows.net", 1)
+    return path
+
+
 class Writer:
     """Writes archives to `folder`, a new one when `archive_bytes` are reached."""
 
     def __init__(self, folder: str, archive_bytes: int = ARCHIVE_BYTES):
-        self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
         self.archive_bytes, self.held, self.out, self.done = archive_bytes, [], None, []
 
     def add(self, data: bytes) -> None:
@@ -200,8 +217,14 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
     """Writes a record for each row of `pages` (page_id, url, html) and returns the manifest: path, bytes, records."""
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
-    first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit) & F.col("first").isNotNull()).drop("n")
-    rows = rows.join(first, ["sha", "size"], "left").select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
+    first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = cut(first.where((F.col("n") > 1) & (F.col("size") >= min_revisit) & F.col("first").isNotNull()).drop("n"))
+    if first.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(first), ["sha", "size"], "left")
+    else:
+        rows = rows.withColumn("salt", F.monotonically_increasing_id() % SALTS)
+        rows = rows.join(first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["sha", "size", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = Writer(folder, archive_bytes)
@@ -225,7 +248,7 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        fs, _ = pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
         for batch in batches:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows, read = [], 0
@@ -249,10 +272,9 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """The columns of query op10: written to archives in the shared folder and read back from them."""
     spark: SparkSession = pages.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    folder = "file://" + folder.removeprefix("file:") if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs, path = pyarrow.fs.FileSystem.from_uri(arrow_uri(folder))
     fs.create_dir(path)
+    delete_on_exit(spark, folder)
     manifest = write_archives(pages, folder)
     return read_archives(manifest, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -64,3 +64,38 @@ def test_empty_table(spark, docs):
 def test_carried_columns(spark, docs):
     got = mix(docs(*[(k, f"text {k}", "en", "ab"[k % 2]) for k in range(50)]), carry=("text", "lang")).collect()
     assert len(got) == 50 and all(r["text"] == f"text {r['doc_id']}" and r["lang"] == "en" for r in got)
+
+
+def test_null_ids_and_equal_rows_fill_no_leaf(spark, docs, monkeypatch):
+    from millrace.llm import mixing
+
+    largest, folded = [], mixing._folded
+
+    def watched(units, *rest):
+        out = folded(units, *rest)
+        largest.append(out.selectExpr("max(size(items))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(mixing, "_folded", watched)
+    rows = [(None, "one two three", None, "a")] * 3000 + [(k, "w " * (k % 7), None, "b") for k in range(1500)] + [(9, "same", None, "c")] * 500
+    got = mix(docs(*rows), fan=64).collect()
+    assert len(got) == 5000 and max(largest) <= 2 * 64
+    words = sum(len(r[1].split()) for r in rows)
+    assert abs(sum(r["taken"] for r in got) - words) <= 9 * 3
+
+
+def test_large_counts_are_dealt_in_chunks(spark):
+    from millrace.llm.mixing import _spread
+
+    rows = _spread(spark.createDataFrame([(1, 5, 3), (2, 5, 95), (None, 5, 20)], "doc_id long, size long, n long"), chunk=10).collect()
+    assert sorted((r["doc_id"] or 0, r["ordinal"]) for r in rows) == sorted([(1, k) for k in range(3)] + [(2, k) for k in range(95)] + [(0, k) for k in range(20)])
+
+
+def test_carried_columns_of_rows_with_one_id(spark, docs):
+    rows = [(k // 4 if k % 2 else None, f"text {k % 30} " * (1 + k % 3), None, "ab"[k % 2]) for k in range(200)]
+    table = docs(*rows).selectExpr("*", "n_chars as `a.b`", "'mine' as target")
+    plain, got = mix(table).collect(), mix(table, carry=("text", "lang", "a.b", "target")).collect()
+    assert sorted(r["text"] for r in got) == sorted(r[1] for r in rows) and all(r["a.b"] == len(r["text"]) and isinstance(r["target"], float) for r in got)
+    assert [sum(r["taken"] for r in x if r["source"] == "a") for x in (plain, got)] == pytest.approx([sum(r["taken"] for r in plain if r["source"] == "a")] * 2, abs=8)
+    again = mix(table.orderBy("n_chars"), carry=("text", "lang", "a.b")).collect()
+    assert sorted(str(r.asDict() | {"target": 0}) for r in again) == sorted(str(r.asDict() | {"target": 0}) for r in got)

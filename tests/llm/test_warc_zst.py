@@ -80,3 +80,37 @@ def test_broken_records_are_refused(change):
     assert w.page_row(good())[0] == 1
     with pytest.raises(w.WarcError):
         w.page_row(good().replace(*change))
+
+
+@pytest.mark.parametrize("most", [0, 300_000])
+def test_a_payload_of_most_pages(spark, monkeypatch, most):
+    monkeypatch.setattr(w, "BROADCAST_DIGESTS", most)
+    rows = [(k, f"http://x/{k}", "hot" if k % 10 else f"page {k}") for k in range(1, 2000)] + [(None, None, "hot")] * 3
+    table = rows_of(spark, rows).repartition(4)
+    assert sorted((tuple(r) for r in w.archive_round_trip(table).collect()), key=str) == expected(rows)
+
+
+def test_schemes_are_those_of_arrow():
+    uris = {"/a/b": "file:///a/b", "file:/a": "file:///a", "file:///a": "file:///a", "s3a://b/k": "s3://b/k", "dbfs:/x": "file:///dbfs/x", "hdfs://n:8020/x": "hdfs://n:8020/x", "wasbs://c@a.blob.core.windows.net/x": "abfss://c@a.dfs.core.windows.net/x"}
+    assert {k: w.arrow_uri(k) for k in uris} == uris
+
+
+def test_nothing_stays_in_the_shared_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from millrace.llm import mixing, ngram_join, warc_zst
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+warc_zst.archive_round_trip(spark.createDataFrame([(1, "u", "x"), (2, "u", "x")], "page_id long, url string, html string")).collect()
+docs = spark.createDataFrame([(1, "a b c", "s"), (2, "a b c", "s")], "doc_id long, text string, source string")
+mixing.mix(docs, carry=("text",)).collect(); ngram_join.link_groups(docs).collect()
+import os; assert os.listdir({str(tmp_path / "shared")!r})
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+    assert [x for _, _, files in os.walk(tmp_path / "shared") for x in files] == []
