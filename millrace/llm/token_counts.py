@@ -28,8 +28,10 @@ from millrace.llm.common import Held
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Strings, beside the whole tokens, of which a worker remembers the count.
-MEMO = 300_000
+#: Strings, beside the whole tokens, of which a worker remembers the count, and their letters at most: 40 MB or so.
+MEMO, MEMO_LETTERS = 300_000, 40
+#: Texts beyond so many characters are counted pre-token by pre-token, without a list of them.
+LONG = 1_000_000
 _OTHER_SCRIPTS = regex.compile(r"[^\x00-ɏ]")
 
 
@@ -57,7 +59,9 @@ class Counts(dict):
         if len(self) >= self.most:
             for key in [k for k, n in self.items() if n != 1]:
                 del self[key]
-        n = self[word] = len(self.model.tokenize("".join([self.letters[b] for b in word.encode()])))
+        n = len(self.model.tokenize("".join([self.letters[b] for b in word.encode()])))
+        if len(word) <= MEMO_LETTERS:
+            self[word] = n
         return n
 
 
@@ -96,6 +100,8 @@ class Counter:
 
     def _part(self, text: str) -> int:
         text = self.library.normalizer.normalize_str(text) if _OTHER_SCRIPTS.search(text) else text.lower()
+        if len(text) > LONG:
+            return sum(self.counts[m[0]] for m in self.words.finditer(text))
         return sum(map(self.counts.__getitem__, self.words.findall(text)))
 
     def __call__(self, text: str | None) -> int:

@@ -34,3 +34,9 @@ def test_rows(spark, docs):
     assert (by[2]["n_tokens"], by[2]["n_bytes"], by[3]["n_tokens"]) == (0, 0, 0)
     assert by[4]["n_tokens"] == 3000 and by[4]["over_limit"] and by[4]["n_bytes"] == 9000
     assert count_tokens(docs((1, "a")).limit(0)).collect() == []
+
+
+def test_long_texts_and_long_words(counter):
+    text = "Some words, and_then " * 60_000 + "x" * 50_000
+    assert counter(text) == len(counter.library.encode(text, add_special_tokens=False).ids)
+    assert max(map(len, counter.counts)) < 200
