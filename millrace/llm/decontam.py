@@ -24,11 +24,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_slices
+from millrace.llm.common import map_rows, slices, slices_by_bytes
 
 WINDOW = 8
 #: Words of benchmark items in one automaton: about 150 MB of Python objects at most.
 BLOCK_WORDS = 300_000
+#: Bytes of texts that meet a block before the next is loaded, where there are several.
+SLICE_BYTES = 16_000_000
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -188,18 +190,22 @@ def automata(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOC
     return [sc.broadcast(Automaton(block, window)) for block in _blocks(benchmark, block_words)]
 
 
-def _match_all(blocks: list[Broadcast], texts: list[list[str]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """match() of each text against every block; with several blocks, one is in memory at a time."""
-    found: list[tuple[list, set]] = [([], set()) for _ in texts]
-    for block in blocks:
-        automaton = block.value if len(blocks) == 1 else block.load_from_path(block._path)
-        for k, words in enumerate(texts):
-            spans, names = automaton.match(words)
-            if spans:
-                found[k] = (_merged(found[k][0] + spans) if found[k][0] else spans, found[k][1] | names)
+def _match_all(blocks: list[Broadcast], texts: list[str | None]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """The number of words, and match() against every block, of each text; with several blocks, one is in memory at a time."""
+    found: list[tuple[int, list, set]] = [(0, [], set()) for _ in texts]
+    for block in blocks or [None]:
+        automaton = block and (block.value if len(blocks) == 1 else block.load_from_path(block._path))
+        for k, text in enumerate(texts):
+            words = words_of(text)
+            spans, names = automaton.match(words) if automaton else ([], set())
+            found[k] = (len(words), _merged(found[k][1] + spans) if found[k][1] and spans else found[k][1] or spans, found[k][2] | names)
     return found
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast], place: int) -> Iterator[pa.RecordBatch]:
+    return slices(batches) if len(blocks) <= 1 else slices_by_bytes(batches, place, SLICE_BYTES)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -214,13 +220,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """doc_id, n_words, spans (word positions hit, ends exclusive), items (names of items that occur, sorted) for each row."""
     blocks = automata(benchmark, window, block_words)
 
-    def scan(part: pa.RecordBatch) -> dict:
-        texts = [words_of(t) for t in part.column(1).to_pylist()]
-        found = _match_all(blocks, texts)
-        return {"doc_id": part.column(0), "n_words": [len(t) for t in texts], "spans": [[{"start": a, "end": b} for a, b in spans] for spans, _ in found], "items": [sorted(names) for _, names in found]}
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches, blocks, 1):
+            found = _match_all(blocks, part.column(1).to_pylist())
+            hits = [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _, _ in found], pa.int64()), pa.array(hits, span), pa.array([sorted(names) for _, _, names in found], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    return map_slices(docs.select("doc_id", "text"), scan, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>", ["doc_id", "n_words", "spans", "items"], [pa.int64(), pa.int64(), span, pa.list_(pa.string())])
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "doc_id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -230,6 +237,16 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text without the runs of words `spans`, put together once."""
+    out, done, edges = [], 0, {k for a, b in spans for k in (a, b - 1)}
+    at = {k: m.span() for k, m in enumerate(WORDS.finditer(text.translate(_LOWER))) if k in edges}
+    for a, b in spans:
+        out.append(text[done : at[a][0]])
+        done = at[b - 1][1]
+    return "".join([*out, text[done:]])
+
+
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = WINDOW, max_coverage: float = 0.5, window: int = WINDOW) -> DataFrame:
     """`docs` without contaminated passages: same columns, n_chars brought up to date.
 
@@ -240,26 +257,20 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, max_run: int = W
     place = docs.columns.index("text")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(place).to_pylist()
-                found = _match_all(blocks, [words_of(t) for t in texts])
-                keep = []
-                for k, (spans, _) in enumerate(found):
-                    keep.append(True)
-                    if not spans:
-                        continue
-                    places = [m.span() for m in WORDS.finditer(texts[k].translate(_LOWER))]
-                    covered = sum(b - a for a, b in spans) / len(places)
-                    keep[-1] = covered <= max_coverage
-                    for a, b in reversed([x for x in spans if x[1] - x[0] >= max_run]):
-                        texts[k] = texts[k][: places[a][0]] + texts[k][places[b - 1][1] :]
-                columns = list(part.columns)
-                columns[place] = pa.array(texts, part.schema.field(place).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
-
-    out = docs.mapInArrow(clean, docs.schema)
+        for part in _pieces(batches, blocks, place):
+            texts = part.column(place).to_pylist()
+            keep = []
+            for k, (n_words, spans, _) in enumerate(_match_all(blocks, texts)):
+                keep.append(True)
+                if not spans:
+                    continue
+                keep[-1] = sum(b - a for a, b in spans) <= max_coverage * n_words
+                texts[k] = _without(texts[k], [x for x in spans if x[1] - x[0] >= max_run])
+            columns = list(part.columns)
+            columns[place] = pa.array(texts, part.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=part.schema).filter(pa.array(keep, pa.bool_()))
+
+    out = map_rows(docs, clean, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

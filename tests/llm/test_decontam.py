@@ -82,3 +82,19 @@ def test_documents_of_short_items_go(spark, docs):
     assert {r["doc_id"]: r["contaminated"] for r in contamination_digest(rows, benchmark).collect()}[1]
     got = {r["doc_id"]: r["text"] for r in remove_contamination(rows, benchmark).collect()}
     assert got == {2: f"{rest} {items[0]} {rest}", 4: f"{items[0]} {rest}  {rest} end"}
+
+
+def test_several_blocks_and_small_slices_give_the_same(spark, docs, monkeypatch):
+    import random
+
+    from millrace.llm import decontam as d
+
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(draw.choices(words, k=draw.randint(3, 30)))) for k in range(12)]
+    texts = [(k, " ".join(draw.choices(words, k=20)) + " " + draw.choice(items)[1] + " " + " ".join(draw.choices(words, k=20)) if k % 3 else None) for k in range(60)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = {str(r) for r in d.contamination(docs(*texts), benchmark).collect()}
+    monkeypatch.setattr(d, "SLICE_BYTES", 700)
+    assert len(d.automata(benchmark, block_words=70)) >= 3
+    assert {str(r) for r in d.contamination(docs(*texts), benchmark, block_words=70).collect()} == one
