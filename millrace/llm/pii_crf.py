@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_slices
+from millrace.llm.common import map_rows, map_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of a segment at most, tokens before it that are read for its cue, characters to look back for both at first.
-MAX_TOKENS, CONTEXT, REGION = 24, 8, 160
+MAX_TOKENS, CONTEXT, REGION = 32, 8, 160
 Span = tuple[int, int, str]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,6 +97,7 @@ _ANCHOR = re.compile(r"@|(?<![0-9])[0-9](?:[ ().\-/]{0,2}[0-9]){6}|\b(?:at|AT)\b
 _NATIONAL = re.compile(r"(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _TRUNK = re.compile(r"(?:00[1-9][0-9]{0,2}|0[1-9][0-9]{0,4})(?:[ /.-][0-9]{2,9}){1,5}")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[({] ?(?:at|AT|@) ?[\])}] ?| (?:at|AT) )[A-Za-z0-9-]+(?:(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) |\.)[A-Za-z0-9-]+)+")
+_MORE = re.compile(r" ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?[A-Za-z0-9-]| (?:dot|DOT) [A-Za-z0-9-]")
 _SPACED = re.compile(r"[A-Za-z0-9._%+-]+ ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+")
 _TOP = re.compile(r"[A-Za-z]{2,}\Z")
 _GROUPS = re.compile(r"[0-9]{4}(?:[ ./-][0-9]{4}){2,3}|[0-9]{4}[ ./-][0-9]{6}[ ./-][0-9]{4,5}")
@@ -114,7 +115,7 @@ def _span_features(text: str, start: int, end: int, cue: str) -> list[str]:
         out.append("plain email")
     elif "@" in span and _SPACED.fullmatch(span) and _TOP.search(span):
         out.append("spaced email")
-    elif _SPELLED.fullmatch(span) and _TOP.search(span):
+    elif _SPELLED.fullmatch(span) and _TOP.search(span) and not _MORE.match(text, end):
         out.append("spelled email")
     elif any(c.isalpha() for c in span):
         out.append("letters")
@@ -123,6 +124,10 @@ def _span_features(text: str, start: int, end: int, cue: str) -> list[str]:
         out.append(f"separators{len(set(span) - set('0123456789'))}")
         if span.count("(") != span.count(")"):
             out.append("open bracket")
+        if before in (" ", "-", ".", "/") and before and "0" <= text[start - 2 : start - 1] <= "9":
+            out.append("digits before")
+        if after in (" ", "-", ".", "/") and after and "0" <= text[end + 1 : end + 2] <= "9":
+            out.append("digits after")
     if before.isalnum() or before in ("@", ".", "-", "/", "+", "#", "$", "_", "(") and before:
         out.append("glued before")
     if after.isalnum() or after in ("@", "-", "/", "_", ")") and after or after == "." and text[end + 1 : end + 2].isalnum():
@@ -159,7 +164,7 @@ def _candidates(text: str, tokens: list[re.Match], places: list[int]) -> Iterato
                 spelled += tokens[j][0] in ("at", "AT")
             elif k == "@":
                 marks += 1
-            if marks > 1 or words > 8 or words and not (marks or spelled) and words > 3 or digits > 24:
+            if marks > 1 or words > 10 or words and not (marks or spelled) and words > 3 or digits > 24:
                 break
             if k in ("d", "a") and (digits >= 7 and not words or (marks or spelled) and j > i + 1 or digits >= 4 and not words and j > i + 4):
                 yield i, j + 1, _span_features(text, places[i], places[j + 1], cues[i])
@@ -276,6 +281,7 @@ def generated(n: int = 320, seed: int = 5) -> list[tuple[str, list[Span]]]:
         lambda: f"20{number(2)}-{draw.randint(10, 12)}-{draw.randint(10, 28)} {draw.randint(10, 23)}.{number(2)}.{number(2)}", lambda: f"{draw.randint(10, 28)}.{draw.randint(10, 12)}.20{number(2)}", lambda: f"{number(1)}.{number(2)}.{number(2)}", lambda: f"{number(7)}", lambda: f"{number(9)}", lambda: f"#{number(8)}",
         lambda: long_number(16), lambda: long_number(14), lambda: long_number(18), lambda: "".join(draw.choices("0123456789abcdef", k=40)), lambda: f"${number(3)},{number(3)}.{number(2)}", lambda: f"{number(4)} {number(4)} {number(4)}", lambda: f"{word()} at {word()}", lambda: f"@{word()}", lambda: f"978-{number(1)}-{number(4)}-{number(4)}-{number(1)}",
         lambda: f"{number(3)} {number(3)} {number(3)}", lambda: f"{number(4)}-{number(4)}", lambda: f"20{number(2)}{number(4)}{number(6)}", lambda: f"met at {word()} near the {word()} dot", lambda: f"{number(5)}-{number(5)}", lambda: f"20{number(2)}-0{number(1)}-{draw.randint(10, 28)} at {draw.randint(10, 23)}.{number(2)}.{number(2)}", lambda: f"30{number(1)}.{number(3)}.{number(3)}.{number(3)}", lambda: f"{number(10)}", lambda: f"{number(12)}",
+        lambda: "".join(draw.choices("ABDEFGINRST", k=2)) + " ".join([number(2), *(number(4) for _ in range(draw.randint(3, 5))), number(draw.randint(1, 4))]), lambda: " ".join([number(2), f"0{number(3)}", number(4), number(4), number(2)]),
     ]
     out = []
     for k in range(n):
@@ -359,12 +365,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The columns of query op7, from find_pii()."""
+    """The columns of query op7, from find_pii(), and n_spans, the number of all spans."""
     found = find_pii(docs)
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -391,5 +397,5 @@ def redacted(docs: DataFrame) -> DataFrame:
                 columns[place] = pa.array(texts, part.schema.field(place).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = map_rows(docs, run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -123,3 +123,22 @@ def test_redaction(spark, docs):
 def test_hostile_texts_end(text):
     assert p.base_spans(text) == brute_base(text) if len(text) < 15000 else p.base_spans(text) is not None
     p.all_spans(text, p.trained())
+
+
+FORMS = ["(212) 555-0187", "anna.brown (at) example-host (dot) org", "jane.doe at example dot com", "030 4567 1234", "4111.1111.1111.1111", "bob[at]example[dot]org", "ann at mail dot example dot co dot uk"]
+
+
+@pytest.mark.parametrize("first", FORMS)
+def test_two_entities_at_every_distance(first):
+    filler = "the quick brown fox jumps over a lazy dog and runs far away from all the noise of town " * 5
+    for second in FORMS[:3]:
+        for distance in range(0, 401, 1 if first in FORMS[:2] else 7):
+            text = f"{first}, {filler[:distance].strip()}; {second} end"
+            found = [text[a:b] for a, b, _ in p.all_spans(text, p.trained())[1]]
+            assert found == [first, second], text
+
+
+def test_groups_of_a_longer_number_are_no_phone():
+    for text in ("IBAN DE89 3704 0044 0532 0130 00 please", "GB29 NWBK 6016 1331 9268 19"):
+        assert p.all_spans(text, p.trained())[1] == []
+    assert [k for _, _, k in p.all_spans("tel 0532 0130 00 please", p.trained())[1]] == ["phone"]
