@@ -58,14 +58,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """Word -> 64-bit hash, remembered for a bounded number of words."""
+    """Word -> 64-bit hash, remembered for a bounded number of words of up to 64 letters."""
 
     def __missing__(self, word: str) -> int:
         import xxhash
 
         if len(self) >= 300_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
         return h
 
 
@@ -131,8 +133,8 @@ def class_key(grams: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """doc_id, v (the class key, null without words), sig (MinHash values), keys (band keys)."""
-    names = ["doc_id", "v", "sig", "keys"]
+    """doc_id, h (the text's hash), v (the class key, null without words), sig (MinHash values), keys (band keys)."""
+    names = ["doc_id", "h", "v", "sig", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -148,25 +150,36 @@ def sketches(docs: DataFrame, n: int = NGRAM) -> DataFrame:
                 with np.errstate(over="ignore"):
                     found.append((class_key(grams), sig.tobytes(), _mixed(sig.view(np.uint64) + bands).view(np.int64).tolist()))
             columns = [list(x) for x in zip(*found, strict=True)] if found else [[], [], []]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, v long, sig binary, keys array<long>")
+    return _keyed_texts(docs).mapInArrow(run, "doc_id long, h long, v long, sig binary, keys array<long>")
 
 
-def _with_grams(n: int):
-    """Rows (text, v, ...) -> (..., v, copies, sig, grams); a text of another class, under a doc_id that repeats, is left out."""
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+
+
+def _with_grams(n: int, remember: int = 100_000):
+    """Rows (text, cluster, low, high, side, v, copies) -> (..., sig, grams), once for each v in a task, though its text may
+    repeat; a text of another class, whose hash and id happen to be the same, is left out."""
     names = ["cluster", "low", "high", "side", "v", "copies", "sig", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, done, last = WordHashes(), set(), None
         for part in slices(batches, 256):
             keep, sigs, sets = [], [], []
-            for text, v in zip(part.column(0).to_pylist(), part.column(5).to_pylist(), strict=True):
-                grams = shingles(text, hashes, n)
-                keep.append(len(grams) > 0 and class_key(grams) == v)
-                if keep[-1]:
-                    sigs.append(signature(grams).tobytes())
-                    sets.append(grams.tobytes())
+            for text, *place in zip(part.column(0).to_pylist(), *(part.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                if keep_it := (place := tuple(place)) not in done:
+                    if text != last:  # a text's rows for its blocks come together
+                        last, grams = text, shingles(text, hashes, n)
+                        key, sig = (class_key(grams), signature(grams).tobytes()) if len(grams) else (None, b"")
+                    if keep_it := key == place[-1]:
+                        sigs.append(sig)
+                        sets.append(grams.tobytes())
+                    if len(done) >= remember:
+                        done.clear()
+                    done.add(place)
+                keep.append(keep_it)
             rest = part.select(range(1, 7)).filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=names)
 
@@ -339,6 +352,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("high").alias("id"), F.col("low").alias("group"))
 
 
+def cluster_texts(docs: DataFrame, inside: DataFrame) -> DataFrame:
+    """Each row of `inside` with its class's text: the document of that id and text hash, so that neither null ids nor ids
+    that repeat meet more than the rows that hold that very text."""
+    wanted = F.broadcast(inside) if inside.count() <= BROADCAST_ROWS else inside
+    same = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
+    return _keyed_texts(docs).join(wanted, same).select("text", "cluster", "low", "high", "side", "v", "copies")
+
+
 def link_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id, copies, n_links, group_id for each row of `docs`.
 
@@ -347,8 +368,10 @@ def link_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, t
     """
     looks = least_matches(threshold, tolerance)
     made = stage_table(sketches(docs, n), "sketches")
-    # copies collapse before the shuffle, so the largest class costs a row for each task
-    classes = made.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    # copies collapse before the shuffle, so the largest class costs a row for each task; (class_id, class_h) finds its text
+    text_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("its")
+    classes = made.where("v is not null").groupBy("v").agg(text_of, F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = classes.select("v", F.col("its.doc_id").alias("class_id"), F.col("its.h").alias("class_h"), "copies", "sig", "keys")
     classes = stage_table(classes, "classes")
     bands = classes.select("v", F.explode("keys").alias("key"))
     # many bands are shared by the very same classes; one band of each such set is enough
@@ -359,11 +382,9 @@ def link_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = NGRAM, t
     clusters = components(met.mapInArrow(_candidate_forest(looks), "a long, b long"))
     clusters = clusters.union(clusters.select(F.col("group").alias("id"), "group").distinct()).select(F.col("id").alias("v"), F.col("group").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
-    inside = _blocks(clusters.join(sizes, "cluster"), "cluster", "members", block).join(classes.select("v", "class_id", "copies"), "v")
-    inside = cut(inside.select("class_id", "cluster", "low", "high", "side", "v", "copies"))
-    wanted = F.broadcast(inside) if inside.count() <= BROADCAST_ROWS else inside
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("class_id"))).select("text", "cluster", "low", "high", "side", "v", "copies")
-    sets = texts.mapInArrow(_with_grams(n), "cluster long, low int, high int, side int, v long, copies long, sig binary, grams binary")
+    inside = _blocks(clusters.join(sizes, "cluster"), "cluster", "members", block).join(classes.select("v", "class_id", "class_h", "copies"), "v")
+    inside = cut(inside.select("class_id", "class_h", "cluster", "low", "high", "side", "v", "copies"))
+    sets = cluster_texts(docs, inside).mapInArrow(_with_grams(n), "cluster long, low int, high int, side int, v long, copies long, sig binary, grams binary")
     sets = sets.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "side", "v")
     found = cut(sets.mapInArrow(_verify(threshold, looks), "id long, other long, links long"))
     links = found.where("other is null").groupBy(F.col("id").alias("v")).agg(F.sum("links").alias("links"))
