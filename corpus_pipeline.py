@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages: language, near copies, benchmark passages, personal data, mixture.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before kept, and returns documents with the
-columns of the table; the last returns the mixture, a row for each copy that it takes. A row is a document: the stage for
-near copies tells rows apart by a key of its own, so a null doc_id, or one that repeats, changes no decision. SQL can't express the learned and drawn stages, so there is no oracle; tests compare with brute force.
+columns of the table; the last returns the mixture, a row for each copy that it takes. A row is a document: the stages for
+near copies and the mixture tell rows apart by keys of their own, so a null doc_id, or one that repeats, changes no
+decision. Extra columns go through, whatever their names. SQL can't express the learned and drawn stages, so there is no oracle; tests compare with brute force.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, stage_table, table
+from millrace.llm.common import cut, free_name, quoted, stage_table, table
 from millrace.llm.decontam import remove_contamination
 from millrace.llm.langid import identify, learn
 from millrace.llm.mixing import mix
@@ -22,10 +23,12 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose language isn't recognised, go; a missing lang is filled in."""
-    named = identify(docs, learn(docs))
-    kept = named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Documents without a letter, or whose language isn't recognised, go; a missing lang is filled in. Without any labelled
+    document no language is learned, none is recognised, and every document goes."""
+    named, score = free_name("lang_pred", docs.columns), free_name("score", docs.columns)
+    found = identify(docs, learn(docs), (named, score))
+    kept = found.where((F.col(named) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", named)).select(*map(quoted, docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a key of their own, written with them once, as doc_id may be null or repeat. Different texts
     under one doc_id all stay. Of rows without words, which are no near copies, those that repeat doc_id and text make one.
     """
-    key = "_row"
+    key = free_name("_row", docs.columns)
     keyed = stage_table(docs.withColumn(key, F.monotonically_increasing_id()), "near_copies_input")
     linked = link_groups(keyed.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "group_id")
     text = F.coalesce("text", F.lit(""))
@@ -44,7 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key))[key]
     stays = named.groupBy(*(g.alias(f"_g{k}") for k, g in enumerate(group))).agg(first.alias(key)).select(key)
     gone = named.select(key).join(stays, key, "left_anti")
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    return keyed.join(gone, key, "left_anti").select(*map(quoted, docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +61,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy of a document that the mixture takes, with the copy's number."""
-    taken = mix(docs, carry=("text", "lang", "n_chars")).where("copies > 0")
-    return taken.select("doc_id", "text", "lang", "source", "n_chars", "size", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    """A row for each copy of a document that the mixture takes, with its size in words and the copy's number.
+
+    All columns of `docs` are carried; one named as what the mixture adds gives way to that.
+    """
+    carried = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_size", "target", "copies", "taken", "copy")]
+    taken = mix(docs, carry=tuple(carried)).where("copies > 0")
+    columns = [quoted(c) for c in docs.columns if c in ("doc_id", "source", *carried)]
+    return taken.select(*columns, "size", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
 
 
 STAGES = [
