@@ -88,3 +88,16 @@ def test_columns_and_empty_tables(spark, folder):
 def test_contract():
     assert len(corpus_pipeline.STAGES) == 5 and all(callable(f) for _, f in corpus_pipeline.STAGES)
     assert os.path.exists(corpus_pipeline.__file__) and json.dumps([n for n, _ in corpus_pipeline.STAGES])
+
+
+def test_extra_columns_go_through(spark, folder):
+    path, rows = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "-7.0D as score", "'mine' as lang_pred", "doc_id as `a.b`", "1 as _row", "2 as copies")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, path)
+        if name != "mixture":
+            assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r["score"] == -7 and r["lang_pred"] == "mine" and r["a.b"] == r["doc_id"] and r["_row"] == 1 for r in got)
+        if name != "mixture":
+            docs = spark.createDataFrame(got, out.schema)
