@@ -55,7 +55,7 @@ def _fields() -> dict[str, F.Column]:
     ids = F.concat(
         rules.required("order_id", col("order_id"), "MISSING_ORDER_ID", "Order ID"),
         rules.required("customer_id", col("customer_id"), "MISSING_CUSTOMER_ID", "Customer ID"),
-        entries((col("_duplicate"), error("DUPLICATE_ORDER_ID", "order_id", col("order_id"), "order_id belongs to a genuinely conflicting duplicate group."))),
+        entries((col("_duplicate"), error("DUPLICATE_ORDER_ID", "order_id", col("order_id"), "other rows of the run carry the same order id"))),
     )
     judged = ("date", "email", "phone", "currency", "status")
     return {"_made": F.concat(trims, *(s.corrections for s in steps.values())), "_found": F.concat(ids, *(steps[f].errors for f in judged)), **{f"_clean_{_COLUMNS[f]}": s.value for f, s in steps.items()}}
@@ -65,7 +65,7 @@ def _record() -> list[dict[str, F.Column]]:
     """Stages after the items: the order's total, codes, several errors at once."""
     col = F.col
     several = F.size("_codes") > 1
-    message = error("MULTIPLE_CONFLICTING_ERRORS", "_record", None, "Multiple substantial errors prevent a single safe correction path.")
+    message = error("MULTIPLE_CONFLICTING_ERRORS", "_record", None, "more than one kind of error")
     return [
         *_order_total(),
         {"_codes": F.array_distinct(F.transform("_found", lambda e: e["code"]))},
@@ -91,11 +91,11 @@ def _order_total() -> list[dict[str, F.Column]]:
     derived = col("_expected").isNotNull() & col("order_total").isNull()
     changed = F.coalesce(col("_expected") != col("order_total"), F.lit(False))
     made = entries(
-        (derived, correction("total_amount", col("_raw_total_amount"), number_text(col("_expected")), "ORDER_TOTAL_DERIVED", "Derived as sum(item totals) + delivery_cost.")),
-        (changed, correction("total_amount", col("_clean_total_amount"), number_text(col("_expected")), "ORDER_TOTAL_RECALCULATED", "Recalculated as sum(item totals) + delivery_cost.")),
+        (derived, correction("total_amount", col("_raw_total_amount"), number_text(col("_expected")), "ORDER_TOTAL_DERIVED", "item totals and delivery added up")),
+        (changed, correction("total_amount", col("_clean_total_amount"), number_text(col("_expected")), "ORDER_TOTAL_RECALCULATED", "stated total replaced by item totals and delivery added up")),
     )
     unknown = col("order_total").isNull() & col("_expected").isNull()
-    message = F.when(F.coalesce(usable, F.lit(False)), "Order total is unknown and cannot be safely recomputed.").otherwise("Order total is unknown and required components are unusable.")
+    message = F.when(F.coalesce(usable, F.lit(False)), "no total, and an item's total is open").otherwise("no total, and items or delivery cannot be used")
     found = entries((unknown, error("TOTAL_UNKNOWN_UNRECOVERABLE", "total_amount", col("_raw_total_amount"), message)))
     final = F.when(derived | changed, number_text(col("_expected"))).otherwise(col("_clean_total_amount"))
     return [{"_expected": expected}, {"_final_total": final, "_made": F.concat("_made", "items_made", made), "_found": F.concat("_found", "items_found", found)}]

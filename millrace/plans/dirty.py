@@ -58,12 +58,12 @@ dirty AS (
 
 
 def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey and the 17 source columns."""
+    """o_orderkey and the 17 source columns, dealt over the cluster as the splits of a CSV would be (`orders` is one split)."""
     text = "WITH " + _sql("spark") + " SELECT * FROM dirty"
     for name, after in (("lineitem", "FROM "), ("orders", "FROM "), ("customer", "JOIN ")):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"millrace_{name}")
         text = text.replace(f"{after}{name}", f"{after}millrace_{name}")
-    return spark.sql(text)
+    return spark.sql(text).repartition("o_orderkey")
 
 
 def dirty_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,44 @@ def test_ratios_agree_with_28_digit_arithmetic(spark):
     for r in df.collect():
         t, q = Decimal(str(r["t"])), Decimal(str(r["q"]))
         assert r["c"] == (q * (t / q) != t), (t, q)
+
+
+ISO_FORMS = [
+    "2025-01-31", "20250131", "2025-W05-5", "2025W055", "2025-W05", "2025W05", "2025-01-31T12", "2025-01-31x12:00", "20250131T120000", "2025-01-31T1200", "2025-01-31 12:00:01.5+03:30", "2025-01-31T12:00:00,123456",
+    "2025-01-31T12:00Z", "2020-W53-7", "2025-W53-1", "2025-W00-1", "2025-W05-8", "2025-02-29", "2024-02-29", "2025-13-01", "2025-01-31T24:00", "2025-01-31T12:60", "2025-1-31", "2025-01-31T", "2025-0131", "2025-01-31T12:00+25:00", "20250131T12:00", "x",
+]
+
+
+def test_iso_forms_are_those_of_the_standard_library(spark):
+    from datetime import datetime
+
+    from millrace.operators.rules import iso_date
+
+    def want(text):
+        try:
+            return datetime.fromisoformat(text.replace("Z", "+00:00")).strftime("%Y-%m-%dT%H:%M:%S")
+        except ValueError:
+            return None
+
+    rows = spark.createDataFrame([(t,) for t in ISO_FORMS], "t string").select("t", iso_date(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == {t: want(t) for t in ISO_FORMS}
+
+
+PLAIN = '{"sku":"SKU-1","name":"منتج","qty":2,"unit_price":5000,"total":10000}'
+
+
+@pytest.mark.parametrize(("text", "plain"), [
+    (f"[{PLAIN}]", True), (f"[{PLAIN},{PLAIN}]", True), (f"[{PLAIN.replace('2,', '2.0,')}]", True), (f"[{PLAIN};{PLAIN}]", False), (f"[{PLAIN}{PLAIN}]", False), (f"[{PLAIN}],", False), (f"[{PLAIN},]", False),
+    (f"[{PLAIN.replace('10000', '9000')}]", False), (f"[{PLAIN.replace('منتج', ' منتج')}]", False), (f"[{PLAIN.replace('منتج', 'a,{x 1.0,')}]", True), (f"[{PLAIN.replace('SKU-1', '')}]", True), (f"[{PLAIN.replace('2,', '-2,')}]", False), (PLAIN, False), (None, False),
+])
+def test_plain_items_end_as_the_stages_would_have_them(spark, monkeypatch, text, plain):
+    from millrace.functions import audit
+    from millrace.operators import items as module
+
+    df = spark.createDataFrame([(text, "2000", "12000", "12000")], "items_json string, a string, b string, c string").select("items_json", *(F.col(x).cast("decimal(18,6)").alias(y) for x, y in zip("abc", ("delivery", "order_total", "payment"), strict=True)))
+    assert (df.select(module.plain_items(F.col("items_json")).alias("p")).first()["p"] is not None) == plain
+    pick = lambda x: x.selectExpr("transform(items, s -> struct(s.qty, s.price, s.total, s.derived, s.shown_price))", "items_made", "items_found", "items_text").first()
+    short = pick(module.item_states(df))
+    monkeypatch.setattr(module, "plain_items", lambda text: F.lit(None).cast("array<struct<q: decimal(18,0), p: decimal(18,0), t: decimal(18,0)>>"))
+    monkeypatch.setattr(audit, "_HELD", {})
+    assert pick(module.item_states(df)) == short
