@@ -1,8 +1,9 @@
 """Tables of the engine, as Parquet under one folder of any file system that Spark reads.
 
 orders_raw is appended to, a partition for each run. orders_validated and orders_quarantine are snapshots: a new one is
-written beside the old and a pointer file is then renamed into place, so readers see one or the other, and a job that
-dies leaves the old one. `mongo_format` writes to and reads from the document store's connector where its jars are on
+written beside the old, and a pointer file of the next number is then renamed into place. The pointer of the highest
+number counts, and none is replaced, so readers see one snapshot or the other, and a job that dies at any point leaves
+the old table or the new one. A table has one writer at a time; of two, the second to set a pointer fails. `mongo_format` writes to and reads from the document store's connector where its jars are on
 the classpath.
 """
 
@@ -54,38 +55,59 @@ class Storage:
         found = self.spark.read.schema(RAW_SCHEMA).parquet(self.path(name))
         return found if run_id is None else found.where(F.col("run_id") == run_id)
 
-    def _pointer(self, name: str) -> str | None:
-        if not self._exists(f"{self.path(name)}/_CURRENT"):
-            return None
-        fs, at = self._fs(f"{self.path(name)}/_CURRENT")
-        stream = fs.open(at)
-        try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
-        finally:
-            stream.close()
+    def _pointers(self, name: str) -> dict[int, str]:
+        """The snapshot that each pointer names, by number; one cut off while it was written is left out."""
+        fs, folder = self._fs(self.path(name))
+        if not fs.exists(folder):
+            return {}
+        found = {}
+        for status in fs.listStatus(folder):
+            head, _, number = status.getPath().getName().partition(".")
+            if head == "_CURRENT" and (number.isdigit() or not number):  # one without a number is of an older layout
+                stream = fs.open(status.getPath())
+                try:
+                    snapshot = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+                finally:
+                    stream.close()
+                if snapshot and self._exists(f"{self.path(name)}/{snapshot}"):
+                    found[int(number or 0)] = snapshot
+        return found
 
     def snapshot(self, name: str) -> DataFrame:
         """The table as it stands, empty if never written."""
-        current = self._pointer(name)
-        if current is None:
+        pointers = self._pointers(name)
+        if not pointers:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path(name)}/{current}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path(name)}/{pointers[max(pointers)]}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Writes `rows` as the new snapshot and moves the pointer to it; the one before is kept, older ones are removed."""
-        before, new = self._pointer(name), f"snapshot-{uuid.uuid4().hex}"
+        """Writes `rows` as the new snapshot and points to it; the one before is kept, older ones are removed."""
+        number, new = max(self._pointers(name), default=0) + 1, f"snapshot-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path(name)}/{new}")
-        fs, temp = self._fs(f"{self.path(name)}/_CURRENT.{new}")
+        self._point(name, number, new)
+        self._clean(name)
+
+    def _point(self, name: str, number: int, snapshot: str) -> None:
+        fs, temp = self._fs(f"{self.path(name)}/_NEXT.{snapshot}")
         out = fs.create(temp, True)
-        out.write(bytearray(new.encode()))
+        out.write(bytearray(snapshot.encode()))
         out.close()
-        _, pointer = self._fs(f"{self.path(name)}/_CURRENT")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(temp, pointer)
-        for status in fs.listStatus(self._fs(self.path(name))[1]):
+        _, pointer = self._fs(f"{self.path(name)}/_CURRENT.{number:08d}")
+        if fs.exists(pointer) or not fs.rename(temp, pointer):
+            raise RuntimeError(f"another writer has replaced {name} meanwhile")
+
+    def _clean(self, name: str) -> None:
+        """Removes pointers below the last two, and every snapshot that no pointer names, once there is a pointer."""
+        pointers = self._pointers(name)
+        kept = set(sorted(pointers)[-2:])
+        if not kept:
+            return
+        fs, folder = self._fs(self.path(name))
+        for status in fs.listStatus(folder):
             found = status.getPath().getName()
-            if found.startswith("snapshot-") and found not in (new, before):
+            head, _, number = found.partition(".")
+            old = head == "_CURRENT" and (number.isdigit() or not number) and int(number or 0) < min(kept)
+            if old or head == "_NEXT" or found.startswith("snapshot-") and found not in {pointers[k] for k in kept}:
                 fs.delete(status.getPath(), True)
 
     def drop_test_table(self, name: str) -> None:

@@ -197,3 +197,51 @@ def test_cli(tmp_path, orders, capsys):
     with pytest.raises(SystemExit):
         main(["load", "--input", orders, "--drop-target"])
     assert parser().parse_args(["sample", "--input", "a", "--output", "b"]).rows == 100_000
+
+
+def test_a_replacement_that_stops_leaves_one_table_or_the_other(spark, tmp_path, monkeypatch):
+    from pyspark.sql import types as T
+
+    from millrace.sources import storage as module
+
+    monkeypatch.setitem(module.SCHEMAS, "t", "k int")
+    store = Storage(spark, str(tmp_path))
+    rows = lambda k: spark.createDataFrame([(k,)], T.StructType([T.StructField("k", T.IntegerType())]))
+    read = lambda: [r["k"] for r in Storage(spark, str(tmp_path)).snapshot("t").collect()]
+    store.replace("t", rows(1))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    for step, after in (("_point", 1), ("_clean", 3)):
+        with monkeypatch.context() as broken:
+            broken.setattr(Storage, step, stop)
+            with pytest.raises(KeyboardInterrupt):
+                store.replace("t", rows(after if step == "_clean" else 2))
+        assert read() == [after]
+    (tmp_path / "t" / "_CURRENT.00000009").write_text("")  # cut off while it was written
+    assert read() == [3]
+    store.replace("t", rows(4))
+    store.replace("t", rows(5))
+    names = sorted(x.name for x in (tmp_path / "t").iterdir() if not x.name.startswith("."))
+    assert read() == [5] and sum(n.startswith("snapshot-") for n in names) == 2
+
+
+def test_pointers_of_the_older_layout_are_read(spark, tmp_path, monkeypatch):
+    from millrace.sources import storage as module
+
+    monkeypatch.setitem(module.SCHEMAS, "t", "k int")
+    spark.range(1).selectExpr("cast(id as int) k").write.parquet(str(tmp_path / "t" / "snapshot-a"))
+    (tmp_path / "t" / "_CURRENT").write_text("snapshot-a")
+    store = Storage(spark, str(tmp_path))
+    assert store.snapshot("t").count() == 1
+    store.replace("t", spark.range(2).selectExpr("cast(id as int) k"))
+    assert store.snapshot("t").count() == 2
+
+
+def test_two_writers_of_a_table(spark, tmp_path, monkeypatch):
+    store = Storage(spark, str(tmp_path))
+    (tmp_path / "t").mkdir()
+    store._point("t", 1, "snapshot-a")
+    with pytest.raises(RuntimeError):
+        store._point("t", 1, "snapshot-b")
