@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, slices, stage_table
+from millrace.llm.common import cut, free_shuffles, slices, stage_table
 
 NGRAM, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -329,26 +329,30 @@ def _verify(threshold: float, looks: tuple[tuple[int, int], ...]):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, rows: int = 200_000) -> DataFrame:
     """id, group: the smallest id of each connected component of `edges` (a, b), by alternating large-star and small-star
-    steps. Each round is two shuffles of at most the edges there are; rounds grow with the logarithm of the longest chain."""
-    now = cut(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct())
-    before = None
+    steps. Each round shuffles at most the edges there are, four times; rounds grow with the logarithm of the longest chain.
+    Edges are kept in partitions of about `rows`, so that a round over few of them writes few files."""
+    now = edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct()
+    now, before = cut(now), None
     for _ in range(rounds):
-        both = now.select(F.col("high").alias("at"), F.col("low").alias("to")).union(now.select(F.col("low").alias("at"), F.col("high").alias("to")))
-        least = both.groupBy("at").agg(F.min("to").alias("m")).select("at", F.least("at", "m").alias("m"))
-        # large star: each larger neighbour is hung below the smallest of the neighbourhood
-        now = now.join(least, now["low"] == least["at"]).select(F.col("m").alias("low"), "high").union(least.where("m < at").select(F.col("m").alias("low"), F.col("at").alias("high"))).distinct()
-        # small star: an id with several smaller neighbours hangs them all below the smallest
-        smallest = now.groupBy("high").agg(F.min("low").alias("m"))
-        now = now.join(smallest, "high").select("m", "low", "high")
-        now = cut(now.select(F.col("m").alias("low"), "high").union(now.where("low != m").select(F.col("m").alias("low"), F.col("low").alias("high"))).distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
-        if state == before:
+        count, total = now.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
+        if (count, total) == before:
             break
-        before = state
+        before = (count, total)
+        now = now.coalesce(max(1, -(-count // rows)))
+        # large star: what hangs below an id that has a smaller neighbour is hung below the smallest of those
+        least = now.groupBy(F.col("high").alias("at")).agg(F.min("low").alias("m"))
+        up = now.join(least, now["low"] == least["at"], "left")
+        up = up.select(F.explode(F.when(F.col("m").isNull(), F.array(F.struct("low", "high"))).otherwise(F.array(F.struct(F.col("m").alias("low"), "high"), F.struct(F.col("m").alias("low"), F.col("low").alias("high"))))).alias("e"))
+        up = up.select("e.low", "e.high")
+        # small star: an id with several smaller neighbours hangs them all below the smallest
+        smallest = up.groupBy("high").agg(F.min("low").alias("m"))
+        first = F.col("low") == F.col("m")
+        now = cut(up.join(smallest, "high").select(F.col("m").alias("low"), F.when(first, F.col("high")).otherwise(F.col("low")).alias("high")).distinct())
     else:
         raise RuntimeError("components did not settle")
+    free_shuffles(edges.sparkSession)
     return now.select(F.col("high").alias("id"), F.col("low").alias("group"))
 
 

@@ -86,3 +86,57 @@ def test_components(spark):
     got = {r["id"]: r["group"] for r in g.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(2, 41)} | {101: 100, 103: 100}
     assert g.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_null_and_repeated_ids_meet_their_own_texts_alone(spark, docs, monkeypatch):
+    texts = made(11, families=6, most=20)
+    links, groups = brute(texts)
+    seen, whole = [], g.cluster_texts
+
+    def counted(rows, inside):
+        out = whole(rows, inside)
+        seen.append((inside.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(g, "cluster_texts", counted)
+    got = g.link_groups(docs(*((None, t) for t in texts.values()))).collect()
+    assert sorted(r["n_links"] for r in got) == sorted(links.values()) and all(r["class_id"] is None for r in got)
+    got = g.link_groups(docs(*((k // 3, t) for k, t in texts.items()))).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == sorted((k // 3, links[k]) for k in texts)
+    distinct = len({frozenset(g.shingles(t, g.WordHashes()).tolist()) for t in texts.values()})
+    assert len(seen) == 2 and all(rows <= 2 * inside <= 2 * distinct * 2 for inside, rows in seen)
+
+
+def test_a_text_that_repeats_under_no_id_is_read_once_a_task(spark, docs):
+    base = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(None, base)] * 500 + [(None, base + " more")] * 500
+    made_rows = []
+    import pyarrow as pa
+
+    run = g._with_grams(5)
+    key = g.class_key(g.shingles(base, g.WordHashes()))
+    batch = pa.RecordBatch.from_pydict({"text": [base] * 500, "cluster": [1] * 500, "low": [0] * 500, "high": [0] * 500, "side": [0] * 500, "v": [key] * 500, "copies": [500] * 500})
+    for out in run(iter([batch])):
+        made_rows += out.to_pylist()
+    assert len(made_rows) == 1
+    got = g.link_groups(docs(*rows)).collect()
+    assert {r["n_links"] for r in got} == {999} and {r["copies"] for r in got} == {500}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_are_those_of_union_find(spark, seed):
+    draw = random.Random(seed)
+    edges = [(draw.randrange(300), draw.randrange(300)) for _ in range(220)] + [(1000 + k, 1001 + k) for k in range(90)] + [(5, 5)] * 3
+    up = {x: x for e in edges for x in e}
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r["id"]: r["group"] for r in g.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up if root(x) != x}
+    assert g.components(spark.createDataFrame([], "a long, b long")).collect() == []
