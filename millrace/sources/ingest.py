@@ -8,13 +8,13 @@ import uuid
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.config import LARGE, RAW, SMALL
 from millrace.schema import CORRUPT, RAW_COLUMNS
 from millrace.sources.csv import check_schema, count_rows, numbered, read_large, read_small
-from millrace.sources.storage import Storage
+from millrace.sources.storage import TEST_PREFIX, Storage
 
 
 class GateError(RuntimeError):
@@ -49,13 +49,18 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
 
     Gates: the run is new; the columns are the contracted ones; no corrupt rows before anything is written (unless
     on_malformed is "permissive"); as many rows stored as read; the expected number where it is stated; other runs
-    untouched.
+    untouched; a stored row has its metadata and fields. A table other than the raw table is one of a test: named
+    TEST_PREFIX*, and empty.
     """
     if on_malformed not in ("fail", "permissive"):
         raise ValueError("on_malformed is fail or permissive")
     run_id = check_run_id(run_id or new_run_id("run" if engine == SMALL else "spark"))
     before = storage.raw(name=table).groupBy((F.col("run_id") == run_id).alias("own")).count().collect()
     before = {r["own"]: r["count"] for r in before}
+    if table != RAW and not table.startswith(TEST_PREFIX):
+        raise GateError(f"rows go to {RAW}, or to a test table named {TEST_PREFIX}*, not to {table}")
+    if table != RAW and before:
+        raise GateError(f"the test table {table} is not empty")
     if before.get(True):
         raise GateError(f"run {run_id} is in the raw table already")
     began = time.perf_counter()
@@ -72,5 +77,18 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
     after = {r["own"]: r["count"] for r in storage.raw(name=table).groupBy((F.col("run_id") == run_id).alias("own")).count().collect()}
     if after.get(True, 0) != read or after.get(False, 0) != before.get(False, 0):
         raise GateError(f"read {read} rows, stored {after.get(True, 0)}; others {before.get(False, 0)} and {after.get(False, 0)}")
+    _check_stored(storage.raw(run_id, table).first(), engine, read)
     elapsed = time.perf_counter() - began
     return {"run_id": run_id, "engine": engine, "rows_read": read, "inserted": after.get(True, 0), "corrupt_rows": corrupt, "elapsed_seconds": round(elapsed, 4), "records_per_second": round(read / elapsed, 2) if elapsed > 0 else 0}
+
+
+def _check_stored(row: Row | None, engine: str, read: int) -> None:
+    """A row that was stored names its source, row, time and engine, and holds every contracted field."""
+    if row is None:
+        if read:
+            raise GateError("no stored row of the run")
+        return
+    lacking = [c for c in ("run_id", "source_file", "source_path", "source_row_number", "ingested_at", "spark_partition_id") if row[c] is None]
+    fields = [c for c in RAW_COLUMNS if c not in row["raw_record"].asDict()]
+    if lacking or fields or row["engine_used"] != engine:
+        raise GateError(f"a stored row lacks {', '.join(lacking + fields) or 'nothing'} and was read by {row['engine_used']}")

@@ -245,3 +245,29 @@ def test_two_writers_of_a_table(spark, tmp_path, monkeypatch):
     store._point("t", 1, "snapshot-a")
     with pytest.raises(RuntimeError):
         store._point("t", 1, "snapshot-b")
+
+
+def test_loads_of_a_test_go_to_an_empty_test_table(spark, tmp_path, orders):
+    storage = Storage(spark, str(tmp_path / "wh"))
+    with pytest.raises(GateError):
+        load_csv(spark, storage, orders, table="orders_elsewhere")
+    assert load_csv(spark, storage, orders, table="_spark_try")["inserted"] == 7
+    with pytest.raises(GateError):
+        load_csv(spark, storage, orders, table="_spark_try")
+    storage.drop_test_table("_spark_try")
+    assert load_csv(spark, storage, orders, table="_spark_try")["inserted"] == 7
+
+
+def test_stored_rows_are_looked_at():
+    from pyspark.sql import Row
+
+    from millrace.sources.ingest import _check_stored
+
+    good = dict(run_id="r", source_file="f", source_path="p", source_row_number=2, ingested_at=1, spark_partition_id=0, engine_used=LARGE, raw_record=Row(**dict.fromkeys(RAW_COLUMNS, "x")))
+    _check_stored(Row(**good), LARGE, 1)
+    _check_stored(None, LARGE, 0)
+    for bad in (good | {"source_file": None}, good | {"raw_record": Row(order_id="x")}, good | {"engine_used": SMALL}):
+        with pytest.raises(GateError):
+            _check_stored(Row(**bad), LARGE, 1)
+    with pytest.raises(GateError):
+        _check_stored(None, LARGE, 1)
