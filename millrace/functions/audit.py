@@ -50,7 +50,7 @@ _HELD: dict[tuple, object] = {}
 def held(make: Callable[..., _T], *arguments: object) -> _T:
     """What `make` returns, made once for each Spark context: expressions that name columns only can be used again, and
     making some thousands of them takes seconds."""
-    key = (make, arguments, id(SparkContext._active_spark_context))
+    key = (make, arguments, SparkContext._active_spark_context)  # the context itself: its id may be used again
     if key not in _HELD:
         _HELD[key] = make(*arguments)
     return _HELD[key]

@@ -13,10 +13,10 @@ from millrace.schema import PRICE_WORDS
 WHITE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ARABIC = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 LATIN = "01234567890123456789"
-NUMBER = "decimal(18,6)"
+#: Numbers of items, and of an order's own fields: twenty digits before the point and ten after.
+NUMBER, WIDE = "decimal(18,6)", "decimal(30,10)"
 _SUFFIX = rf"(?iu)[{WHITE}]*(YER|ريال يمني|ريال)[{WHITE}]*$"
 _AUDITED_SUFFIX = rf"(ريال يمني|ريال)[{WHITE}]*$"
-_GRAMMAR = r"^[+-]?([0-9]{1,12}\.?[0-9]{0,6}0*|\.[0-9]{1,6}0*)([eE][+-]?[0-9]{1,2})?$"
 
 
 def strip(text: Column) -> Column:
@@ -39,25 +39,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
-def parse_number(text: Column) -> Column:
-    """The number a stripped text stands for, as decimal(18,6); null if it is none or does not fit exactly.
+def parse_number(text: Column, kind: str = NUMBER) -> Column:
+    """The number a stripped text stands for, as `kind` (NUMBER or WIDE); null if it is none or does not fit exactly.
 
     Known price words; digits of either script; either decimal separator; thousands separators anywhere; a currency
     suffix; an underscore between digits; an exponent. Texts such as NaN or Infinity are no numbers. Plain digits, which
     nearly all values are, take a short way.
     """
+    before, after = {NUMBER: (12, 6), WIDE: (20, 10)}[kind]
+    exactly = f"decimal(38,{after + 6})"
+    grammar = rf"^[+-]?([0-9]{{1,{before}}}\.?[0-9]{{0,{after}}}0*|\.[0-9]{{1,{after}}}0*)([eE][+-]?[0-9]{{1,2}})?$"
 
     def plain(text: Column) -> Column:
         bare = F.regexp_replace(F.translate(latin_digits(text), "٫٬", ".,"), _SUFFIX, "")
         return F.regexp_replace(F.translate(strip(bare), ",", ""), "(?<=[0-9])_(?=[0-9])", "")
 
     def read(bare: Column) -> Column:
-        return let(F.when(bare.rlike(_GRAMMAR), bare.try_cast("decimal(38,12)")), lambda exact: F.when(exact.try_cast(NUMBER).cast("decimal(38,12)") == exact, exact.try_cast(NUMBER)))
+        return let(F.when(bare.rlike(grammar), bare.try_cast(exactly)), lambda exact: F.when(exact.try_cast(kind).try_cast(exactly) == exact, exact.try_cast(kind)))
 
     parsed = let(plain(text), read)
     for word, value in PRICE_WORDS.items():
-        parsed = F.when(text == word, F.lit(value).cast(NUMBER)).otherwise(parsed)
-    return F.when(text.rlike("^[0-9]{1,12}$"), text.try_cast(NUMBER)).otherwise(parsed)
+        parsed = F.when(text == word, F.lit(value).cast(kind)).otherwise(parsed)
+    return F.when(text.rlike(f"^[0-9]{{1,{before}}}$"), text.try_cast(kind)).otherwise(parsed)
 
 
 def number_rules(text: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.audit import computed_once, correction, entries, error, held
-from millrace.functions.text import number_text, parse_number, strip
+from millrace.functions.text import WIDE, number_text, parse_number, strip
 from millrace.operators import rules
-from millrace.operators.items import SUM, item_states
+from millrace.operators.items import ORDER_SUM, SUM, item_states
 from millrace.schema import CORRECTED, QUARANTINED, RAW_COLUMNS, VALID
 
 OUTPUT = ("quality_status", "cleaned_record", "corrections", "codes_error", "details_error")
@@ -40,7 +40,7 @@ def _trimmed() -> list[F.Column]:
 
 
 def _numbers() -> dict[str, F.Column]:
-    return {n: parse_number(F.col(c)) for n, c in NUMERIC.items()}
+    return {n: parse_number(F.col(c), WIDE) for n, c in NUMERIC.items()}
 
 
 def _fields() -> dict[str, F.Column]:
@@ -87,7 +87,7 @@ def _order_total() -> list[dict[str, F.Column]]:
     col = F.col
     usable = col("items").isNotNull() & (col("delivery") >= 0)
     known = F.forall("items", lambda s: s["total"].isNotNull() & (s["total"] >= 0))
-    expected = F.when(usable & known, (F.aggregate("items", F.lit(0).cast(SUM), lambda a, s: (a + s["total"]).cast(SUM)) + col("delivery")).cast(SUM))
+    expected = F.when(usable & known, (F.aggregate("items", F.lit(0).cast(SUM), lambda a, s: (a + s["total"]).cast(SUM)) + col("delivery")).cast(ORDER_SUM))
     derived = col("_expected").isNotNull() & col("order_total").isNull()
     changed = F.coalesce(col("_expected") != col("order_total"), F.lit(False))
     made = entries(

@@ -23,13 +23,24 @@ def group_sizes(groups: DataFrame) -> DataFrame:
     return groups.groupBy("record_count").agg(F.count("*").alias("groups"))
 
 
-def flag_duplicates(raw: DataFrame, column: str = "is_duplicate") -> DataFrame:
+MOST_BROADCAST, HOT_ROWS = 64 << 20, 1_000_000
+
+
+def flag_duplicates(raw: DataFrame, column: str = "is_duplicate", most_broadcast: int = MOST_BROADCAST, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`raw` with a boolean: its order id is in a duplicate group.
 
-    Only ids of groups are joined, so Spark broadcasts them where they are few and otherwise shuffles; blank ids get a
-    key of their own each and so never gather in one partition.
+    The groups' ids are counted first, which reads the id column alone. Up to MOST_BROADCAST bytes of them are broadcast, and
+    no row is shuffled. Beyond, rows are shuffled by id, but for those that would gather: blank ids, which form no group, and
+    ids of HOT_ROWS rows or more, which are marked first by a broadcast (a run of n rows has at most n / HOT_ROWS of them)
+    and then, like the blank ones, spread.
     """
-    groups = duplicate_groups(raw).select(F.col("order_id").alias("_dup"))
-    key = normalized_id()
-    spread = F.when(key == "", F.concat(F.lit("\x00"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))).otherwise(key)
-    return raw.withColumn("_key", spread).join(groups, F.col("_key") == F.col("_dup"), "left").withColumn(column, F.col("_dup").isNotNull()).drop("_key", "_dup")
+    groups = duplicate_groups(raw)
+    ids = groups.select(F.col("order_id").alias("_dup"))
+    if (ids.agg(F.sum(F.octet_length("_dup") + 32)).first()[0] or 0) <= most_broadcast:
+        return raw.withColumn("_id", normalized_id()).join(F.broadcast(ids), F.col("_id") == F.col("_dup"), "left").withColumn(column, F.col("_dup").isNotNull()).drop("_id", "_dup")
+    hot = groups.where(F.col("record_count") >= hot_rows).select(F.col("order_id").alias("_hot"))
+    marked = raw.withColumn("_id", normalized_id()).join(F.broadcast(hot), F.col("_id") == F.col("_hot"), "left")
+    alone = F.concat(F.lit("\x00"), F.xxhash64(F.monotonically_increasing_id()).cast("string"))
+    marked = marked.withColumn("_key", F.when((F.col("_id") == "") | F.col("_hot").isNotNull(), alone).otherwise(F.col("_id")))
+    found = marked.join(ids, F.col("_key") == F.col("_dup"), "left")
+    return found.withColumn(column, F.col("_hot").isNotNull() | F.col("_dup").isNotNull()).drop("_id", "_hot", "_key", "_dup")

@@ -170,3 +170,23 @@ def test_plain_items_end_as_the_stages_would_have_them(spark, monkeypatch, text,
     monkeypatch.setattr(module, "plain_items", lambda text: F.lit(None).cast("array<struct<q: decimal(18,0), p: decimal(18,0), t: decimal(18,0)>>"))
     monkeypatch.setattr(audit, "_HELD", {})
     assert pick(module.item_states(df)) == short
+
+
+def test_an_orders_own_numbers_are_wide(spark):
+    from millrace.functions.text import WIDE, number_text, parse_number
+
+    shown = {
+        "12345678901234567890": "12345678901234567890", "1234567890123": "1234567890123", "0.1234567": "0.1234567", "-1234567890123.5000": "-1234567890123.5", "1e15": "1000000000000000",
+        "1,234,567,890,123 YER": "1234567890123", "123456789012345678901": None, "0.12345678901": None, "ألفان": "2000", "": None,
+    }
+    rows = spark.createDataFrame(list(shown.items()), "text string, want string").select("want", number_text(parse_number(F.col("text"), WIDE)).alias("got"))
+    assert all(r["got"] == r["want"] for r in rows.collect())
+
+
+def test_wide_totals_are_recalculated(spark):
+    records = [BASE | {"items_json": items({})} | c for c in ({"total_amount": "1234567890123"}, {"payment_amount": "0.1234567"}, {"delivery_cost": "12345678901234567890"})]
+    rows = spark.createDataFrame([(k, tuple(r[c] for c in RAW_COLUMNS)) for k, r in enumerate(records)], "k int, raw_record struct<" + ", ".join(f"{c}: string" for c in RAW_COLUMNS) + ">")
+    a, b, c = classify(rows).orderBy("k").collect()
+    assert [(x["rule_code"], x["original_value"], x["corrected_value"]) for x in a["corrections"]] == [("ORDER_TOTAL_RECALCULATED", "1234567890123", "12000")]
+    assert b["quality_status"] == "valid" and b["cleaned_record"]["payment_amount"] == "0.1234567"
+    assert c["cleaned_record"]["total_amount"] == "12345678901234577890" and c["quality_status"] == "corrected"
