@@ -16,6 +16,7 @@ def parser() -> argparse.ArgumentParser:
     sub = top.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run", help="load a CSV and bring its records into the tables")
     run.add_argument("--input", required=True)
+    run.add_argument("--batch-size", type=int, help="documents that one insert sends to the document store")
     run.add_argument("--dry-route", action="store_true", help="only say which profile would read it")
     run.add_argument("--raw-only", action="store_true", help="stop after loading")
     load = sub.add_parser("load", help="load a CSV into the raw table")
@@ -24,7 +25,9 @@ def parser() -> argparse.ArgumentParser:
     load.add_argument("--run-id")
     load.add_argument("--expected-rows", type=int)
     load.add_argument("--on-malformed", choices=("fail", "permissive"), default="fail")
-    load.add_argument("--table", help="a test table (_spark_*) instead of the raw table")
+    target = load.add_mutually_exclusive_group()
+    target.add_argument("--production-raw", action="store_true", help="into the raw table, as without --table")
+    target.add_argument("--table", help="a test table (_spark_*) instead of the raw table")
     load.add_argument("--drop-target", action="store_true")
     load.add_argument("--cleanup-after", action="store_true")
     quality = sub.add_parser("quality", help="classify a raw run and upsert its documents")
@@ -42,7 +45,11 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(arguments: list[str] | None = None) -> int:
-    args, settings = parser().parse_args(arguments), Settings()
+    args = parser().parse_args(arguments)
+    size = getattr(args, "batch_size", None)
+    if size is not None and size <= 0:
+        raise SystemExit("--batch-size must be positive")
+    settings = Settings() if size is None else Settings(batch_size=size)
     if args.command == "route" or args.command == "run" and args.dry_route:
         route = resolve_route(args.input, settings)
         print(json.dumps({"path": str(route.path), "file_size_mb": round(route.file_size_mb, 2), "engine": route.engine, "reason": route.reason}, ensure_ascii=False))

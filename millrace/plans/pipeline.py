@@ -172,7 +172,7 @@ def run_pipeline(spark: SparkSession, path: str, settings: Settings | None = Non
     if dry_route:
         return out
     storage = Storage(spark, settings.warehouse)
-    out["raw"] = load_csv(spark, storage, str(route.path), route.engine, on_malformed="permissive" if route.engine != "pyspark" else "fail")
+    out["raw"] = load_csv(spark, storage, str(route.path), route.engine, new_run_id("pipeline"), on_malformed="permissive" if route.engine != "pyspark" else "fail")
     if not raw_only:
         out["quality"] = run_quality(storage, out["raw"]["run_id"], report_path=Path(settings.reports) / "elt_write_report.json")
     return out

@@ -139,7 +139,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
     folder = f"{named.rstrip('/')}/csv-{uuid.uuid4().hex}"
     dirty_orders(spark, sf_dir).select(*RAW_COLUMNS).write.options(header="true", quote='"', escape='"').csv(folder)
-    found = numbered(read_large(spark, folder))
+    found = numbered(read_large(spark, folder, places=True))
     return found.agg(F.count("*").alias("n_rows"), F.count_if(F.length(F.trim("_corrupt_record")) > 0).alias("corrupt"), F.min("source_row_number").alias("first_row"), F.max("source_row_number").alias("last_row"), F.sum(F.length("items_json")).alias("items_chars"))
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import itertools
+import warnings
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,35 +19,43 @@ class SchemaError(RuntimeError):
     """The data does not have the contracted columns."""
 
 
-def read_large(spark: SparkSession, path: str) -> DataFrame:
-    """The 17 columns and the corrupt record, from splittable files: one record a line, explicit schema, no inference."""
+#: Where a row stands: its file, and the offset of the part of the file it was read from.
+PLACE = ("_file", "_block")
+
+
+def read_large(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
+    """The 17 columns and the corrupt record, from splittable files: one record a line, explicit schema, no inference.
+
+    With `places` also the columns of PLACE, by which numbered() goes.
+    """
     options = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "false", "maxCharsPerColumn": "-1", "enforceSchema": "true", "columnPruning": "false"}
-    return spark.read.options(**options).schema(csv_schema()).csv(path)
+    return _placed(spark.read.options(**options).schema(csv_schema()).csv(path), places)
 
 
-def read_small(spark: SparkSession, path: str) -> DataFrame:
+def _placed(rows: DataFrame, places: bool) -> DataFrame:
+    return rows.select("*", F.col("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.file_block_start").alias(PLACE[1])) if places else rows
+
+
+def read_small(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
     """Like read_large(), with fields that span lines; records of another width are taken as they are.
 
     A short record's missing fields are null; a long one's surplus is in extra_values; unquoted empty fields are empty
     texts, as they are in the file. A file is read by one task, so this is the profile of small files.
     """
     options = {"header": "true", "encoding": "UTF-8", "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "multiLine": "true", "maxCharsPerColumn": "-1", "enforceSchema": "true", "columnPruning": "false", "emptyValue": ""}
-    rows = spark.read.options(**options).schema(csv_schema()).csv(path)
+    rows = _placed(spark.read.options(**options).schema(csv_schema()).csv(path), places)
     wide = ", ".join(f"{c} string" for c in RAW_COLUMNS)
     again = F.from_csv(F.col(CORRUPT), wide, {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1", "mode": "PERMISSIVE"})
     rows = rows.withColumn("_again", F.when(F.col(CORRUPT).isNotNull(), again)).withColumn("_surplus", _surplus(len(RAW_COLUMNS))(CORRUPT))
     bad = F.col(CORRUPT).isNotNull()
     columns = [F.when(bad, F.col(f"_again.{c}")).otherwise(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in RAW_COLUMNS]
-    return rows.select(*columns, F.lit(None).cast("string").alias(CORRUPT), F.col("_surplus").alias("extra_values"))
+    return rows.select(*columns, F.lit(None).cast("string").alias(CORRUPT), F.col("_surplus").alias("extra_values"), *(PLACE if places else ()))
 
 
 def _surplus(width: int) -> Callable:
     """A function of a record: its fields beyond `width`, however many, the empty ones null; null if there are none."""
 
     def fields(record: str | None) -> list[str | None] | None:
-        import csv
-        import io
-
         if record is None:
             return None
         csv.field_size_limit(2**31 - 1)
@@ -70,23 +83,68 @@ def check_schema(df: DataFrame) -> None:
 
 
 def numbered(df: DataFrame, column: str = "source_row_number", first: int = 2) -> DataFrame:
-    """Adds contiguous row numbers in file order (the header is row 1).
+    """Adds contiguous row numbers in file order (the header is row 1), and drops the columns of PLACE.
 
-    Rows are numbered within their partition and partitions by their sizes, of which the driver sees one number each;
-    there is no shuffle of the rows, but the source is read twice.
+    Rows are numbered within the parts of files they were read from, and parts by their files' paths, their offsets and
+    their sizes: Spark deals parts to tasks by size, so the order of tasks is not that of the files. Rows without PLACE go by
+    partition. Two numbers for each part are broadcast; there is no shuffle of the rows, but the source is read twice.
     """
-    tagged = df.withColumn("_id", F.monotonically_increasing_id())
-    part, within = F.shiftright("_id", 33).cast("int"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = tagged.select(part.alias("_part")).groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    return tagged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(column, F.col("_before") + within + first).drop("_part", "_before", "_id")
+    place = [c for c in PLACE if c in df.columns]
+    tagged = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33).cast("int"))
+    parts = tagged.groupBy(*place, "_part").agg(F.count("*").alias("_rows"), F.min("_id").alias("_low"))
+    before = Window.orderBy(*place, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", F.struct("_low", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")).alias("_start"))
+    starts = offsets.groupBy("_part").agg(F.sort_array(F.collect_list("_start")).alias("_starts"))
+    start = F.element_at(F.filter("_starts", lambda s: s["_low"] <= F.col("_id")), -1)
+    return tagged.join(F.broadcast(starts), "_part").withColumn("_start", start).withColumn(column, F.col("_start._before") + F.col("_id") - F.col("_start._low") + first).drop(*place, "_id", "_part", "_starts", "_start")
+
 
+class _Stream(io.RawIOBase):
+    """A file of any file system that Spark reads, as a stream of bytes."""
 
-def create_sample(spark: SparkSession, source: str, target: str, rows: int = 100_000) -> int:
-    """Writes the first `rows` records of a CSV, in file order, with header; returns how many there were."""
+    def __init__(self, spark: SparkSession, path: str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(at):
+            raise FileNotFoundError(f"no such file: {path}")
+        self._stream = fs.open(at)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        got = bytes(self._stream.readNBytes(len(buffer)))
+        buffer[: len(got)] = got
+        return len(got)
+
+    def close(self) -> None:
+        if not self.closed and hasattr(self, "_stream"):
+            self._stream.close()
+        super().close()
+
+
+def create_sample(spark: SparkSession, source: str, target: str | Path, rows: int = 100_000) -> int:
+    """Copies the header and the first `rows` records of a CSV file into one local CSV file, with a byte order mark as
+    spreadsheets want it; returns how many there were, with a warning if they are fewer.
+
+    Only the head of the source is read, as a stream: a job would read all of it to number its rows.
+    """
     if rows <= 0:
         raise ValueError("rows must be positive")
-    head = numbered(read_large(spark, source).drop(CORRUPT)).where(F.col("source_row_number") < rows + 2)
-    head.repartitionByRange(1, "source_row_number").sortWithinPartitions("source_row_number").drop("source_row_number").write.mode("overwrite").options(header="true", quote='"', escape='"', quoteAll="false").csv(target)
-    return spark.read.options(header="true", quote='"', escape='"').csv(target).count()
+    csv.field_size_limit(2**31 - 1)
+    with io.TextIOWrapper(io.BufferedReader(_Stream(spark, str(source)), 1 << 20), encoding="utf-8-sig", newline="") as records:
+        reader = csv.reader(records)
+        header = next(reader, None)
+        if header is None:
+            raise ValueError(f"{source} is empty")
+        Path(target).parent.mkdir(parents=True, exist_ok=True)
+        copied = 0
+        with open(target, "w", encoding="utf-8-sig", newline="") as out:
+            writer = csv.writer(out)
+            writer.writerow(header)
+            for record in itertools.islice(reader, rows):
+                writer.writerow(record)
+                copied += 1
+    if copied < rows:
+        warnings.warn(f"{source} has {copied} records, fewer than the {rows} asked for", stacklevel=2)
+    return copied

@@ -7,11 +7,12 @@ import time
 import uuid
 from datetime import datetime, timezone
 from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.config import LARGE, RAW, SMALL
+from millrace.config import LARGE, QUARANTINE, RAW, SMALL, VALIDATED
 from millrace.schema import CORRUPT, RAW_COLUMNS
 from millrace.sources.csv import check_schema, count_rows, numbered, read_large, read_small
 from millrace.sources.storage import TEST_PREFIX, Storage
@@ -34,11 +35,12 @@ def check_run_id(run_id: str) -> str:
 
 
 def raw_rows(df: DataFrame, path: str, run_id: str, engine: str, numbers: bool = True) -> DataFrame:
-    """The raw table's rows for a CSV that was read."""
+    """The raw table's rows for a CSV that was read. A local path is made absolute."""
+    path = str(path) if urlparse(str(path)).scheme else str(Path(path).resolve())
     df = numbered(df) if numbers else df.withColumn("source_row_number", F.lit(None).cast("long"))
     extra = F.col("extra_values") if "extra_values" in df.columns else F.lit(None).cast("array<string>")
     return df.select(
-        F.lit(run_id).alias("run_id"), F.lit(Path(path).name).alias("source_file"), F.lit(str(path)).alias("source_path"), F.col("source_row_number").cast("long"),
+        F.lit(run_id).alias("run_id"), F.lit(Path(path).name).alias("source_file"), F.lit(path).alias("source_path"), F.col("source_row_number").cast("long"),
         F.lit(numbers).alias("source_row_number_available"), F.current_timestamp().alias("ingested_at"), F.lit(engine).alias("engine_used"), F.spark_partition_id().alias("spark_partition_id"),
         F.col(CORRUPT).alias("csv_corrupt_record"), extra.alias("extra_values"), F.struct(*RAW_COLUMNS).alias("raw_record"),
     )
@@ -49,7 +51,7 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
 
     Gates: the run is new; the columns are the contracted ones; no corrupt rows before anything is written (unless
     on_malformed is "permissive"); as many rows stored as read; the expected number where it is stated; other runs
-    untouched; a stored row has its metadata and fields. A table other than the raw table is one of a test: named
+    untouched, and the tables made from them too; a stored row has its metadata and fields. A table other than the raw table is one of a test: named
     TEST_PREFIX*, and empty.
     """
     if on_malformed not in ("fail", "permissive"):
@@ -63,8 +65,9 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
         raise GateError(f"the test table {table} is not empty")
     if before.get(True):
         raise GateError(f"run {run_id} is in the raw table already")
+    others = _others(storage, table)
     began = time.perf_counter()
-    df = (read_small if engine == SMALL else read_large)(spark, path)
+    df = (read_small if engine == SMALL else read_large)(spark, path, places=True)
     if not df.columns:
         raise ValueError(f"{path} is empty")
     check_schema(df)
@@ -77,11 +80,18 @@ def load_csv(spark: SparkSession, storage: Storage, path: str, engine: str = LAR
     after = {r["own"]: r["count"] for r in storage.raw(name=table).groupBy((F.col("run_id") == run_id).alias("own")).count().collect()}
     if after.get(True, 0) != read or after.get(False, 0) != before.get(False, 0):
         raise GateError(f"read {read} rows, stored {after.get(True, 0)}; others {before.get(False, 0)} and {after.get(False, 0)}")
+    if _others(storage, table) != others:
+        raise GateError(f"other tables changed while {table} was loaded")
     _check_stored(storage.raw(run_id, table).first(), engine, read)
     elapsed = time.perf_counter() - began
     return {"run_id": run_id, "engine": engine, "rows_read": read, "inserted": after.get(True, 0), "corrupt_rows": corrupt, "elapsed_seconds": round(elapsed, 4), "records_per_second": round(read / elapsed, 2) if elapsed > 0 else 0}
 
 
+def _others(storage: Storage, table: str) -> dict:
+    """What a load must leave as it is: the snapshots that count and, where the rows go to a test table, the raw table's size."""
+    return {t: storage.current(t) for t in (VALIDATED, QUARANTINE)} | ({} if table == RAW else {RAW: storage.raw().count()})
+
+
 def _check_stored(row: Row | None, engine: str, read: int) -> None:
     """A row that was stored names its source, row, time and engine, and holds every contracted field."""
     if row is None:

@@ -3,8 +3,7 @@
 orders_raw is appended to, a partition for each run. orders_validated and orders_quarantine are snapshots: a new one is
 written beside the old, and a pointer file of the next number is then renamed into place. The pointer of the highest
 number counts, and none is replaced, so readers see one snapshot or the other, and a job that dies at any point leaves
-the old table or the new one. A table has one writer at a time; of two, the second to set a pointer fails. `mongo_format` writes to and reads from the document store's connector where its jars are on
-the classpath.
+the old table or the new one. A table has one writer at a time; of two, the second to set a pointer fails.
 """
 
 from __future__ import annotations
@@ -73,12 +72,17 @@ class Storage:
                     found[int(number or 0)] = snapshot
         return found
 
+    def current(self, name: str) -> str | None:
+        """The name of the snapshot that counts, which changes whenever the table does; null if never written."""
+        pointers = self._pointers(name)
+        return pointers[max(pointers)] if pointers else None
+
     def snapshot(self, name: str) -> DataFrame:
         """The table as it stands, empty if never written."""
-        pointers = self._pointers(name)
-        if not pointers:
+        current = self.current(name)
+        if current is None:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path(name)}/{pointers[max(pointers)]}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path(name)}/{current}")
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """Writes `rows` as the new snapshot and points to it; the one before is kept, older ones are removed."""
@@ -130,13 +134,3 @@ class Storage:
             raise RuntimeError(f"no raw rows of run {run_id}")
         return run_id
 
-
-def write_documents(rows: DataFrame, collection: str, settings: Settings | None = None) -> None:
-    """Appends rows to a document-store collection through its Spark connector, whose jars the session must have."""
-    settings = settings or Settings()
-    rows.write.format("mongodb").mode("append").options(**{"connection.uri": settings.mongo_uri, "database": settings.mongo_database, "collection": collection, "operationType": "insert", "ordered": "false"}).save()
-
-
-def read_documents(spark: SparkSession, collection: str, settings: Settings | None = None) -> DataFrame:
-    settings = settings or Settings()
-    return spark.read.format("mongodb").options(**{"connection.uri": settings.mongo_uri, "database": settings.mongo_database, "collection": collection}).load()

@@ -271,3 +271,122 @@ def test_stored_rows_are_looked_at():
             _check_stored(Row(**bad), LARGE, 1)
     with pytest.raises(GateError):
         _check_stored(None, LARGE, 1)
+
+
+def test_duplicates_beyond_a_broadcast(spark):
+    ids = ["hot"] * 50 + ["two", " two", "one", "", None, "  "]
+    rows = spark.createDataFrame([(k, (x,)) for k, x in enumerate(ids)], "k int, raw_record struct<order_id: string>")
+    wide = flag_duplicates(rows, most_broadcast=0, hot_rows=50)
+    few = {r["k"]: r["is_duplicate"] for r in flag_duplicates(rows).collect()}
+    assert {r["k"]: r["is_duplicate"] for r in wide.collect()} == few == {k: k < 52 for k in range(len(ids))}
+    assert wide.columns == ["k", "raw_record", "is_duplicate"]
+
+
+def test_row_numbers_follow_the_files(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    for name, low, high in (("a", 0, 3), ("b", 3, 400), ("c", 400, 405)):  # Spark reads the largest file first
+        (folder / f"{name}.csv").write_text(csv_text(*({"order_id": str(k)} for k in range(low, high))), encoding="utf-8")
+    for read in (read_large, read_small):
+        found = numbered(read(spark, str(folder), places=True))
+        assert not {"_file", "_block"} & set(found.columns)
+        assert sorted((r["source_row_number"], int(r["order_id"])) for r in found.collect()) == [(k + 2, k) for k in range(405)]
+
+
+def test_row_numbers_follow_the_parts_of_a_file(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text(csv_text(*({"order_id": str(k)} for k in range(3000))), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        found = numbered(read_large(spark, str(path), places=True))
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted((r["source_row_number"], int(r["order_id"])) for r in found.collect()) == [(k + 2, k) for k in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_sample_is_one_file(spark, tmp_path):
+    source, target = tmp_path / "in.csv", tmp_path / "out" / "sample.csv"
+    source.write_text('a,b\n1,"two\nlines"\n3\n4,5,6\n', encoding="utf-8-sig")
+    assert create_sample(spark, str(source), target, 2) == 2
+    assert target.read_bytes() == b'\xef\xbb\xbfa,b\r\n1,"two\nlines"\r\n3\r\n'
+    with pytest.warns(UserWarning, match="3 records"):
+        assert create_sample(spark, source.as_uri(), target, 9) == 3
+    with pytest.raises(FileNotFoundError):
+        create_sample(spark, str(tmp_path / "absent.csv"), target)
+    source.write_text("")
+    with pytest.raises(ValueError):
+        create_sample(spark, str(source), target)
+
+
+def test_connector_jars(tmp_path, monkeypatch):
+    from millrace.sources.documents import REQUIRED_JARS, connector_jars, insert_options
+
+    monkeypatch.delenv("MONGO_SPARK_JARS", raising=False)
+    cache = tmp_path / "cache"
+    cache.mkdir()
+    names = ["org.mongodb.spark_mongo-spark-connector_2.13-11.1.0.jar", "mongodb-driver-sync-5.1.4.jar", "mongodb-driver-core-5.1.4.jar", "bson-record-codec-5.1.4.jar"]
+    for name in names:
+        (cache / name).touch()
+    with pytest.raises(RuntimeError, match="bson-"):
+        connector_jars([cache, tmp_path / "absent"])
+    (cache / "bson-5.1.4.jar").touch()
+    assert [x.rsplit("/", 1)[1] for x in connector_jars([cache])] == [*names[:3], "bson-5.1.4.jar", names[3]] and len(REQUIRED_JARS) == 4
+    monkeypatch.setenv("MONGO_SPARK_JARS", f"{cache / names[0]}; {cache / names[1]},")
+    assert connector_jars([]) == [str(cache / names[0]), str(cache / names[1])]
+    monkeypatch.setenv("MONGO_SPARK_JARS", str(tmp_path / "no.jar"))
+    with pytest.raises(RuntimeError, match="no.jar"):
+        connector_jars()
+    got = insert_options("orders", Settings(batch_size=7))
+    assert got["maxBatchSize"] == "7" and got["operationType"] == "insert" and got["ordered"] == "false" and got["collection"] == "orders"
+
+
+def test_store_client_answers():
+    from millrace.sources.documents import store_client
+
+    asked = []
+
+    class Client:
+        def __init__(self, uri, serverSelectionTimeoutMS):
+            self.admin = self
+            asked.append((uri, serverSelectionTimeoutMS))
+
+        def command(self, name):
+            asked.append(name)
+
+    assert isinstance(store_client(Settings(mongo_uri="mongodb://h"), 9, Client), Client) and asked == [("mongodb://h", 9), "ping"]
+
+    class Silent(Client):
+        def command(self, name):
+            raise TimeoutError
+
+    with pytest.raises(TimeoutError):
+        store_client(connect=Silent)
+
+
+def test_loads_leave_other_tables(spark, tmp_path, orders, monkeypatch):
+    from millrace.sources import ingest
+
+    storage = Storage(spark, str(tmp_path / "tables"))
+    append = storage.append_raw
+
+    def meddling(rows, table):
+        append(rows, table)
+        storage.replace(VALIDATED, storage.snapshot(VALIDATED))
+
+    monkeypatch.setattr(storage, "append_raw", meddling)
+    with pytest.raises(GateError, match="other tables"):
+        load_csv(spark, storage, orders)
+    monkeypatch.setattr(storage, "append_raw", append)
+    assert load_csv(spark, storage, orders, run_id="again")["inserted"] == 7
+    monkeypatch.chdir(tmp_path)
+    made = ingest.raw_rows(read_large(spark, orders, places=True), "orders.csv", "r", LARGE)
+    assert made.first()["source_path"] == str(tmp_path / "orders.csv")
+
+
+def test_cli_batch_size_and_targets():
+    assert parser().parse_args(["run", "--input", "a", "--batch-size", "9"]).batch_size == 9
+    with pytest.raises(SystemExit):
+        main(["run", "--input", "a", "--batch-size", "0"])
+    with pytest.raises(SystemExit):
+        parser().parse_args(["load", "--input", "a", "--production-raw", "--table", "_spark_x"])
