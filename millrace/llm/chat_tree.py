@@ -4,6 +4,7 @@ Conversations that share their initial turns are merged: each turn is a node bel
 once. Packs hold the trees depth first, as one text of formatted turns with, for each node, its interval of tokens
 (code points here), the position id of its first token, its parent, the intervals it attends to (its ancestors') and
 its loss mask (an assistant's words). A conversation is a node; its tokens are its ancestors' intervals and its own.
+`tokenized` gives the same packs in the tokens of a tokenizer file in place of code points.
 
 Conversations are sorted by the hashes of their turns, so that those with shared beginnings stand together, and dealt
 into ranges by them and conv_id; each task walks its range as a depth-first traversal and holds one path and one pack.
@@ -122,6 +123,54 @@ def packs(conversations: DataFrame, max_tokens: int = MAX_TOKENS, max_conversati
     return whole.select("conv_id", "turns").mapInArrow(run, PACK_DDL)
 
 
+
+TOKENIZER = "byte_bpe_50k.json"
+TOKENS_DDL = PACK_DDL.replace("text string", "token_ids array<int>")
+
+
+def tokenized(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """token_ids, nodes, conversations: the packs in tokens of the tokenizer file at the path `tokenizer` (which tasks read).
+
+    A turn's words under the loss mask are encoded apart from what stands around them, and each node apart from its
+    parent, so intervals, masks and shared turns end where tokens end. Special strings are ordinary text and none are added.
+    With a byte-level vocabulary the ids of a conversation decode to its text.
+    """
+    source = open(tokenizer, encoding="utf-8").read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tokenizers import Tokenizer
+
+        model = Tokenizer.from_str(source)
+        model.encode_special_tokens = True
+        model.no_truncation()
+        model.no_padding()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {k: v[0] for k, v in batch.slice(at, 1).to_pydict().items()}
+                ids, nodes = _in_tokens(model, row["text"], row["nodes"])
+                yield pa.RecordBatch.from_pydict({"token_ids": [ids], "nodes": [nodes], "conversations": [row["conversations"]]}, schema=pa.schema([("token_ids", pa.list_(pa.int32())), *(PACK.field(n) for n in ("nodes", "conversations"))]))
+
+    return formatted.mapInArrow(run, TOKENS_DDL)
+
+
+def _in_tokens(model, text: str, nodes: list[dict]) -> tuple[list[int], list[dict]]:
+    """The tokens of a pack, and its nodes with intervals of them. Nodes follow each other without gaps, a parent before its children."""
+    ids: list[int] = []
+    made: list[dict] = []
+    edge = {0: 0}  # where a node starts or ends, in code points -> in tokens
+    for n in nodes:
+        cuts = [n["start"], n["loss_start"], n["loss_end"], n["end"]]
+        ends = [len(ids)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            ids += model.encode(text[a:b], add_special_tokens=False).ids if b > a else []
+            ends.append(len(ids))
+        edge[n["end"]] = ends[3]
+        above = made[n["parent"]] if n["parent"] >= 0 else None
+        attends = [{"start": edge[x["start"]], "end": edge[x["end"]]} for x in n["attends"]]
+        made.append({"start": ends[0], "end": ends[3], "position": above["position"] + above["end"] - above["start"] if above else 0, "parent": n["parent"], "loss_start": ends[1], "loss_end": ends[2], "attends": attends})
+    return ids, made
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """The columns of query op9, from packs alone: every conversation is put together from its node's attention intervals."""
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

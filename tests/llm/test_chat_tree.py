@@ -64,3 +64,55 @@ def test_trap_and_empty_table(spark):
     assert c.packs(none).collect() == []
     got = c.read_back(c.packs(c.with_trap(spark, none))).collect()
     assert [r["conv_id"] for r in got] == [-7] and got[0]["loss_chars"] == len(c.TRAP)
+
+
+def one_partition(spark, rows):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        return c.packs(rows_of(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+PATHS = [["a", "b"], ["a", "c"], ["a", "b", "d"], ["a"], ["e"], ["a", "b"]]
+
+
+def test_one_pack_holds_each_shared_turn_once(spark):
+    (pack,) = one_partition(spark, [(k, t, "user", text) for k, path in enumerate(PATHS) for t, text in enumerate(path)])
+    said = [c.parse_turn(pack["text"][n["start"] : n["end"]])[1] for n in pack["nodes"]]
+    assert sorted(said) == ["a", "b", "c", "d", "e"] and len(pack["conversations"]) == len(PATHS)
+    assert said.index("d") == said.index("b") + 1  # depth first
+    assert pack["text"] == "".join(c.format_turn("user", x)[0] for x in said)
+
+
+def test_tokens_read_back(spark):
+    from tokenizers import Tokenizer
+
+    from millrace.llm.token_counts import tokenizer_path
+
+    path = tokenizer_path(c.TOKENIZER)
+    model = Tokenizer.from_file(path)
+    draw = random.Random(9)
+    rows = [(k, t, ("user", "assistant")[t % 2], draw.choice(["hi there", "", "<|endoftext|>", c.TRAP, "é \\ 語", None]) if t else "shared start") for k in range(60) for t in range(draw.randint(1, 5))]
+    rows += [(None, 0, None, "no id"), (900, 0, "assistant", "x " * 20_000)]
+    chars = c.packs(rows_of(spark, rows), 400, 7)
+    plain = {r["conversations"][0]["conv_id"]: r for r in chars.collect()}
+    packs = c.tokenized(chars, path).collect()
+    assert len(packs) == len(plain) > 1
+    want, seen = expected(rows), 0
+    for p in packs:
+        ids, nodes, text = p["token_ids"], p["nodes"], plain[p["conversations"][0]["conv_id"]]
+        decode = lambda a, b: model.decode(ids[a:b], skip_special_tokens=False)  # noqa: B023, E731
+        assert [n["start"] for n in nodes] == [0, *(n["end"] for n in nodes[:-1])] and nodes[-1]["end"] == len(ids)
+        for n, m in zip(nodes, text["nodes"], strict=True):
+            assert decode(n["start"], n["end"]) == text["text"][m["start"] : m["end"]]
+            assert decode(n["loss_start"], n["loss_end"]) == text["text"][m["loss_start"] : m["loss_end"]]
+            assert n["parent"] == m["parent"] and sum(a["end"] - a["start"] for a in n["attends"]) == n["position"]
+        for leaf in p["conversations"]:
+            n = nodes[leaf["node"]]
+            whole = "".join(decode(a["start"], a["end"]) for a in n["attends"]) + decode(n["start"], n["end"])
+            assert len(whole) == want[leaf["conv_id"]][4]
+            seen += 1
+    assert seen == len(want)
+    assert c.tokenized(c.packs(rows_of(spark, [])), path).collect() == []
