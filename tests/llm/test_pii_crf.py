@@ -72,6 +72,11 @@ def test_every_spelled_form_is_read(address):
         assert [(k, text[a:b]) for a, b, k in p.all_spans(text, p.trained())[1]] == [("email", address)]
 
 
+@pytest.mark.parametrize("text", ["See more at example.com.", "Visit us at www.example.org today", "shown at news.example.co.uk, as ever", "read it AT example.com"])
+def test_prose_before_a_domain_is_no_address(text):
+    assert p.all_spans(text, p.trained()) == ([], [])
+
+
 def test_generated_forms_in_the_whole_text():
     field = p.trained()
     for seed in (77, 78):
