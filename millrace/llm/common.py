@@ -85,14 +85,14 @@ def bucket_of(column: str, modulus: int) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
-def drawn(rows: DataFrame, group: str, k: int, salts: int = 64) -> DataFrame:
+def drawn(rows: DataFrame, group: str, k: int, salts: int = 64, middle: int = 8) -> DataFrame:
     """The `k` rows of each group with the smallest hashes of doc_id, the same in every run.
 
-    Each group is ranked in `salts` parts first, so that a group of most rows is dealt over as many tasks, and the last
-    ranking sees k rows of each part at most.
+    Each group is ranked in `salts` parts first, then in `middle` of them, so that a group of most rows is dealt over as
+    many tasks, and the last ranking sees `middle` times k rows of a group at most.
     """
     hashed = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_part", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(salts)))
-    for by in ([group, "_part"], [group]):
+    for by in ([group, "_part"], [group, F.col("_part") % middle], [group]):
         hashed = hashed.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "doc_id"))).where(F.col("_k") <= k)
     return hashed.drop("_h", "_part", "_k")
 
