@@ -96,3 +96,73 @@ def test_a_doc_id_that_repeats_is_learned_from_once(spark):
     finally:
         quality_bt._map_features = held
     assert seen == [20, 20] and np.allclose(a.weights, b.weights)
+
+
+def _labelled(n, bad, seed=5):
+    """Texts of which those of label 0 have more symbols, most times; `bad` tells who has label 0."""
+    draw = random.Random(seed)
+    texts, marks = [], []
+    for k in range(n):
+        odd = draw.gauss(0.25 if bad(k) else 0.1, 0.08)
+        texts.append((k, " ".join("".join(draw.choices("abcdef", k=draw.randint(2, 9))) + ("#" if draw.random() < odd else "") for _ in range(draw.randint(20, 40))) + "."))
+        marks.append((k, int(not bad(k))))
+    return texts, marks
+
+
+def test_every_labelled_row_is_learned_from(spark):
+    from millrace.llm import quality_bt
+
+    texts, marks = _labelled(5000, lambda k: k % 10 == 0)
+    ranker = quality_bt.learn(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int"))
+    x = np.array([features(t) for _, t in texts])
+    assert np.allclose(ranker.mean, x.mean(axis=0)) and np.allclose(ranker.scale, x.std(axis=0))
+    scores = np.sort(ranker._inputs(x) @ ranker.weights)
+    assert scores[499] < ranker.threshold < scores[500]
+
+
+def test_blocks_hold_every_example_once_and_pair_it(spark):
+    """A rare label, whose rows come to several blocks, and documents of many equal labels."""
+    from millrace.llm import quality_bt
+
+    texts, marks = _labelled(2600, lambda k: k % 500 == 0)
+    marks += [(7, 1)] * 1000 + [(500, 0)] * 19 + [(8, 0), (9999, 1)]
+    x = {k: [float(v) for v in features(t)] for k, t in texts}
+    rows = spark.createDataFrame(list(x.items()), "doc_id long, x array<double>")
+    marked = spark.createDataFrame(marks, "doc_id long, y int")
+    table, sizes = quality_bt._dealt(rows, marked)
+    found = [[np.frombuffer(r[c]).reshape(-1, len(FEATURES)) for c in ("good", "bad")] + [(r["own_good"], r["own_bad"]), r["block"]] for r in table.collect()]
+    blocks = [quality_bt.Block(*f) for f in found]
+    assert len(blocks) > 4 and sorted(b.number for b in blocks) == list(range(len(blocks)))
+    for label in (0, 1):
+        own = sorted(r for b in blocks for r in b.owned()[1 - label].tolist())
+        assert own == sorted(x[k] for k, y in marks if y == label and k in x) and len(own) == sizes[label]
+    for b in blocks:
+        for places, side in zip(b.pairs(quality_bt.PARTNERS), (b.good, b.bad), strict=True):
+            assert np.bincount(places, minlength=len(side)).min() >= quality_bt.PARTNERS
+
+    total = quality_bt._total(table)
+    share = (len(marks) - sum(y for _, y in marks)) / len(marks)
+    ranker = Ranker.over(total, sizes[1], sizes[0], share)
+    n, *sums = sum(ranker._pair_sums(b, quality_bt.PARTNERS) for b in blocks)
+    slope = np.array(sums[: len(ranker.weights)]) / n + quality_bt.PENALTY * ranker.weights
+    assert np.abs(slope).max() < 1e-6
+    again = quality_bt._learned(rows.orderBy(F.desc("doc_id")), marked.orderBy("y", F.desc("doc_id")))
+    assert np.allclose(again.weights, ranker.weights) and np.isclose(again.threshold, ranker.threshold)
+
+
+def test_threshold_with_equal_scores_and_another_share():
+    """Brute force: the rows one by one in the order of their scores, label 0 first among equal ones."""
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        y = draw.integers(0, 2, draw.integers(4, 60))
+        y[:2] = 0, 1
+        rows = draw.integers(0, 4, (len(y), 1)) + 0.0 + y[:, None]
+        share = float(draw.choice([0.01, 0.1, 0.25, 0.5, 0.9, (y == 0).mean()]))
+        ranker = Ranker(rows, y, share)
+        ranked = sorted((float(s), int(k)) for s, k in zip(ranker._raw(rows), y, strict=True))
+        reached, place = 0.0, -1
+        while reached < share - 1e-12:
+            place += 1
+            reached += (1 - share) / (y == 1).sum() if ranked[place][1] else share / (y == 0).sum()
+        over = ranked[min(place + 1, len(ranked) - 1)][0]
+        assert np.isclose(ranker.threshold, (ranked[place][0] + over) / 2)
