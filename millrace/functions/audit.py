@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import TypeVar
 
 from pyspark import SparkContext
@@ -24,11 +25,6 @@ def error(code: str, field: Column | str, value: Column | None, message: Column
     return F.struct(_text(code).alias("code"), _text(field).alias("field"), _text(value).alias("value"), _text(message).alias("message"))
 
 
-def entries(*pairs: tuple[Column, Column]) -> Column:
-    """The entries whose condition holds, in order."""
-    return F.array_compact(F.array(*(F.when(condition, entry) for condition, entry in pairs)))
-
-
 def no_corrections() -> Column:
     return F.expr(f"cast(array() as array<{CORRECTION}>)")
 
@@ -37,6 +33,22 @@ def no_errors() -> Column:
     return F.expr(f"cast(array() as array<{ERROR}>)")
 
 
+def correction_entries(*pairs: tuple[Column, Column]) -> Column:
+    """The corrections whose condition holds, in order."""
+    return _entries(pairs, no_corrections())
+
+
+def error_entries(*pairs: tuple[Column, Column]) -> Column:
+    """The errors whose condition holds, in order."""
+    return _entries(pairs, no_errors())
+
+
+def _entries(pairs: tuple[tuple[Column, Column], ...], none: Column) -> Column:
+    """Most rows have none: their conditions are all that is evaluated, by generated code, which array_compact is not."""
+    some = reduce(lambda a, b: a | b, (condition for condition, _ in pairs))
+    return F.when(some, F.array_compact(F.array(*(F.when(condition, entry) for condition, entry in pairs)))).otherwise(none)
+
+
 def computed_once(value: Column) -> Column:
     """`value`, which the optimizer will not push filters through: it would repeat the whole classification in the filter,
     once for each place that a stage's column is used."""

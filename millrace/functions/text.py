@@ -20,9 +20,12 @@ _AUDITED_SUFFIX = rf"(ريال يمني|ريال)[{WHITE}]*$"
 
 
 def strip(text: Column) -> Column:
-    """`text` without white space at either end. Texts that neither start nor end with any, nearly all, are not searched."""
-    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
-    return F.when(ends.rlike(f"[{WHITE}]"), F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
+    """`text` without white space at either end. Texts that neither start nor end with any, nearly all, are not searched:
+    those whose ends lie between the blanks, in ASCII or in the scripts before Ogham, are told by comparison."""
+    inner = lambda c: (c >= "!") & (c <= "~") | (c >= "\u00a1") & (c < "\u1680")
+    first, last = F.substring(text, 1, 1), F.substring(text, -1, 1)
+    blank = F.concat(first, last).rlike(f"[{WHITE}]")
+    return F.when(inner(first) & inner(last), text).when(blank, F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:
@@ -39,6 +42,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body).getItem(0)
 
 
+def in_parts(value: Column) -> Column:
+    """`value`, by an expression that whole-stage code generation leaves alone. The other columns of its projection are then
+    generated as small methods: as one method of more than 8000 bytes the JVM would never compile them."""
+    return let(value, lambda x: x)
+
+
 def parse_number(text: Column, kind: str = NUMBER) -> Column:
     """The number a stripped text stands for, as `kind` (NUMBER or WIDE); null if it is none or does not fit exactly.
 

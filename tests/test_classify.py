@@ -190,3 +190,26 @@ def test_wide_totals_are_recalculated(spark):
     assert [(x["rule_code"], x["original_value"], x["corrected_value"]) for x in a["corrections"]] == [("ORDER_TOTAL_RECALCULATED", "1234567890123", "12000")]
     assert b["quality_status"] == "valid" and b["cleaned_record"]["payment_amount"] == "0.1234567"
     assert c["cleaned_record"]["total_amount"] == "12345678901234577890" and c["quality_status"] == "corrected"
+
+
+FIELDS = [
+    {}, {"order_id": ""}, {"customer_id": " "}, {"currency": "yEr"}, {"currency": "ريال"}, {"currency": "عملة"}, {"status": " مؤكد"}, {"status": "x"}, {"status": None}, {"payment_status": "مدفوع"}, {"payment_status": "x"},
+    {"payment_status": None}, {"delivery_cost": "02000"}, {"delivery_cost": "2000.0"}, {"payment_amount": "١٢"}, {"total_amount": ""}, {"total_amount": "123456789012345678901"}, {"total_amount": None},
+    {"customer_phone": "+967 700000000"}, {"customer_phone": "70000000"}, {"customer_phone": None}, {"customer_email": "a..b@@c.com"}, {"customer_email": "a@b"}, {"customer_email": "a.@b.c"}, {"customer_email": "é@b.c"},
+    {"order_date": "2025-02-30T10:00:00"}, {"order_date": "31-01-2025"}, {"order_date": "2025-W05-5"}, {"order_date": None}, {"city": " x "}, {"city": ""}, {"city": "　"}, {"district": "x "}, {"district": "\x1cx"},
+    {"customer_name": "​x"}, {"items_json": "[]"}, {"items_json": "x"}, {"items_json": None}, {"items_json": items({})[:-1] + " ]"},
+]
+
+
+def test_fine_rows_end_as_the_field_rules_would_have_them(spark, monkeypatch):
+    from millrace.functions import audit
+    from millrace.operators import rules
+
+    records = [BASE | {"items_json": items({})} | change for change in FIELDS]
+    df = spark.createDataFrame([(k, k == 1, tuple(r[c] for c in RAW_COLUMNS)) for k, r in enumerate(records)], "k int, again boolean, raw_record struct<" + ", ".join(f"{c}: string" for c in RAW_COLUMNS) + ">")
+    fine = df.select("k", rules.nothing_to_do({c: F.col(f"raw_record.{c}") for c in RAW_COLUMNS}).alias("fine")).where("fine").collect()
+    assert 0 in {r["k"] for r in fine} and not {r["k"] for r in fine} & {1, *range(3, 10)}  # blanks are trimmed before
+    short = classify(df, "again").orderBy("k").collect()
+    monkeypatch.setattr(rules, "nothing_to_do", lambda columns: F.lit(False))
+    monkeypatch.setattr(audit, "_HELD", {})
+    assert classify(df, "again").orderBy("k").collect() == short
