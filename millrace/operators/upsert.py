@@ -18,7 +18,7 @@ def fingerprint(*parts: F.Column) -> F.Column:
     return F.sha2(F.to_json(F.struct(*(p.alias(f"p{k}") for k, p in enumerate(parts))), {"ignoreNullFields": "false"}), 256)
 
 
-def validated_documents(classified: DataFrame, run_id: str, now: F.Column | None = None) -> DataFrame:
+def validated_documents(classified: DataFrame, run_id: str | F.Column, now: F.Column | None = None) -> DataFrame:
     """Valid and corrected records as documents keyed by order_id."""
     now = F.current_timestamp() if now is None else now
     rows = classified.where(F.col("quality_status").isin(VALID, CORRECTED))

@@ -31,3 +31,16 @@ def test_query(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     assert sorted(df.columns) == names
     assert sorted(str([r[n] for n in names]) for r in df.collect()) == want
+
+
+def test_upserts_keep_only_what_they_show(spark):
+    import re
+
+    from millrace.plans.queries import _changed
+
+    try:
+        new, _ = _changed(spark, FOLDER)
+        kept = re.findall(r"InMemoryRelation \[([^\]]*)\]", new._jdf.queryExecution().withCachedData().toString())
+        assert kept and not any("raw_record" in columns or "corrections" in columns for columns in kept)
+    finally:
+        spark.catalog.clearCache()
